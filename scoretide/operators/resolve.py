@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoretide.operators.clean import dedup_first, duplicate_keys
-from scoretide.operators.spread import group_positions, join_null_safe
-from scoretide.session import materialise
+from scoretide.operators.spread import HOT_ROWS, group_positions, group_sizes, join_null_safe
+from scoretide.session import Parts, materialise
 
 SUFFIX = r"\.([0-9]+)$"
 MAX_PERIODS = 1_000
@@ -49,22 +49,7 @@ class Resolution:
 
 
 LOG_ORDER = ["year_created", "stage", "key_ord", "place"]
-
-
-class _Log:
-    """The growing suffix log: one small table per period and stage."""
-
-    def __init__(self) -> None:
-        self.parts: list[DataFrame] = []
-
-    def add(self, part: DataFrame) -> None:
-        self.parts.append(part)
-
-    def all(self) -> DataFrame | None:
-        out = None
-        for part in self.parts:
-            out = part if out is None else out.unionByName(part)
-        return out
+LOG_COLUMNS = ["name", "old_key", "new_key", *LOG_ORDER]
 
 
 def _propagate(cur: DataFrame, log: DataFrame | None) -> DataFrame:
@@ -84,53 +69,56 @@ def _next_suffix(keys: DataFrame, log: DataFrame | None) -> DataFrame:
     return keys.join(top, "key", "left").withColumn("next", F.coalesce(F.col("_top") + 1, F.lit(2))).drop("_top")
 
 
-def _collided(claims: DataFrame) -> DataFrame:
-    """Keys with more than one claim, and where in the file each key first appears."""
+def _contested(claims: DataFrame) -> DataFrame:
+    """The claims on keys that have more than one, with the key's first place in the file."""
     known = claims.filter(F.col("key").isNotNull())
-    return known.groupBy("key").agg(F.count("*").alias("_n"), F.min("ord").alias("key_ord")).filter("_n > 1").drop("_n")
+    keys = known.groupBy("key").agg(F.count("*").alias("_n"), F.min("ord").alias("key_ord")).filter("_n > 1")
+    return known.join(keys.drop("_n"), "key")
 
 
-def _suffixed(picked: DataFrame, order: list[str], log: DataFrame | None, period: int, stage: int) -> DataFrame:
+def _suffixed(picked: DataFrame, order: list[str], log: DataFrame | None, period: int, stage: int,
+              hot: bool) -> DataFrame:
     """New keys for the picked claims: consecutive suffixes per key in the given order."""
-    placed = group_positions(picked, ["key"], order, "place")
+    placed = group_positions(picked, ["key"], order, "place", hot)
     numbered = _next_suffix(placed, log)
     return numbered.withColumn(
         "new_key", F.concat_ws(".", "key", (F.col("next") + F.col("place") - 1).cast("string"))
     ).withColumns({"year_created": F.lit(period), "stage": F.lit(stage)}).withColumnRenamed("key", "old_key")
 
 
-def _resolve_ids(cur: DataFrame, prior: DataFrame | None, log: _Log, period: int) -> DataFrame:
+def _resolve_ids(cur: DataFrame, prior: DataFrame | None, log: Parts, period: int) -> DataFrame:
     """The id stage: under a contested key one id stays, the others get suffixes in id order."""
     with_id = cur.filter(F.col("issuerid").isNotNull() & (F.col("issuerid") != ""))
     claims = with_id.groupBy("key", "issuerid", "name").agg(F.min("row_ord").alias("ord"))
-    contested = materialise(_collided(claims), "id-contested")
-    if contested.isEmpty():
+    contested = materialise(_contested(claims), "id-contested")
+    largest, total = group_sizes(contested, ["key"])
+    if total == 0:
         return cur
-    entries = claims.join(contested, "key")
     if prior is None:
-        entries = entries.withColumns({"_seen": F.lit(False), "_any": F.lit(False)})
+        entries = contested.withColumns({"_seen": F.lit(False), "_any": F.lit(False)})
     else:
-        seen = prior.join(contested, "key", "left_semi").filter(F.col("issuerid").isNotNull())
-        seen = seen.select("key", "issuerid").distinct().withColumn("_seen", F.lit(True))
-        entries = entries.join(seen, ["key", "issuerid"], "left").join(
-            seen.select("key").distinct().withColumn("_any", F.lit(True)), "key", "left"
-        )
+        keys = contested.select("key").distinct()
+        seen = prior.filter(F.col("issuerid").isNotNull()).join(keys, "key", "left_semi")
+        seen = seen.groupBy("key", "issuerid").agg(F.lit(True).alias("_seen"))
+        past = seen.groupBy("key").agg(F.lit(True).alias("_any"))
+        entries = contested.join(seen, ["key", "issuerid"], "left").join(past, "key", "left")
         entries = entries.fillna(False, ["_seen", "_any"])
     # with a past, the lowest id seen before stays; if no id of this period was, the stage does nothing
     keeper = entries.groupBy("key").agg(
         F.min("issuerid").alias("_low"), F.min(F.when(F.col("_seen"), F.col("issuerid"))).alias("_old"),
         F.bool_or("_any").alias("_past"),
     ).select("key", F.when(F.col("_past"), F.col("_old")).otherwise(F.col("_low")).alias("_keeper"))
-    moved = entries.join(keeper, "key").filter(F.col("issuerid") != F.col("_keeper"))
-    moved = materialise(moved.select("key", "key_ord", "issuerid", "name", "ord"), "id-moved")
-    named = materialise(_suffixed(moved, ["issuerid", "ord"], log.all(), period, 1), "id-suffixes")
-    log.add(named.select("name", "old_key", "new_key", *LOG_ORDER))
+    moved = contested.join(keeper, "key").filter(F.col("issuerid") != F.col("_keeper"))
+    named = materialise(
+        _suffixed(moved, ["issuerid", "ord"], log.all(), period, 1, largest > HOT_ROWS), "id-suffixes"
+    )
+    log.add(named.select(LOG_COLUMNS))
     # every row of the id in this period moves, whatever its key; the last assignment wins
     last = named.groupBy("issuerid").agg(F.max_by("new_key", F.struct("key_ord", "place")).alias("_new"))
     return cur.join(last, "issuerid", "left").withColumn("key", F.coalesce("_new", "key")).drop("_new")
 
 
-def _resolve_names(cur: DataFrame, prior: DataFrame | None, log: _Log, period: int) -> DataFrame:
+def _resolve_names(cur: DataFrame, prior: DataFrame | None, log: Parts, period: int) -> DataFrame:
     """The name stage: names new under a contested key get suffixes in file order.
 
     Keys are handled in the order in which they first appear, and a renamed
@@ -140,49 +128,57 @@ def _resolve_names(cur: DataFrame, prior: DataFrame | None, log: _Log, period: i
     such arrivals repeat until they settle, once per level of suffix.
     """
     claims = cur.groupBy("key", "name").agg(F.min("row_ord").alias("ord"))
-    contested = materialise(_collided(claims), "name-contested")
-    if contested.isEmpty():
+    contested = materialise(_contested(claims), "name-contested")
+    largest, total = group_sizes(contested, ["key"])
+    if total == 0:
         return cur
-    known = contested.select("key", F.lit(None).cast("string").alias("name")).limit(0)
+    keys = contested.select("key", "key_ord").distinct()
+    known, logged = None, log.all()
     if prior is not None:
-        known = known.unionByName(prior.join(contested, "key", "left_semi").select("key", "name"))
-    if log.all() is not None:
-        known = known.unionByName(log.all().select(F.col("old_key").alias("key"), "name").join(contested, "key", "left_semi"))
-    known = materialise(known.distinct(), "name-known")
+        known = prior.select("key", "name")
+    if logged is not None:
+        entries = logged.select(F.col("old_key").alias("key"), "name")
+        known = entries if known is None else known.unionByName(entries)
+    if known is not None:
+        known = known.join(keys, "key", "left_semi")
 
     def only_new(rows: DataFrame) -> DataFrame:
-        return join_null_safe(rows, known, ["key", "name"], "left_anti")
+        return rows if known is None else join_null_safe(rows, known, ["key", "name"], "left_anti")
 
-    fresh = only_new(claims.join(contested, "key"))
+    fresh = only_new(contested)
+    columns = ["key", "key_ord", "name", "ord"]
     first = fresh.filter(F.col("name").isNotNull()).groupBy("name").agg(
         F.min(F.struct("key_ord", "key", "ord")).alias("_f")
     )
-    columns = ["key", "key_ord", "name", "ord"]
-    picked = first.select("name", "_f.*").select(*columns)
     # a missing name takes its suffix but can never be matched for renaming
-    picked = picked.unionByName(fresh.filter(F.col("name").isNull()).select(*columns))
-    picked = materialise(picked, "name-picked")
+    picked = first.select("name", "_f.*").select(*columns).unionByName(
+        fresh.filter(F.col("name").isNull()).select(*columns)
+    )
     name_ord = cur.groupBy("name").agg(F.min("row_ord").alias("ord"))
-    arrivals, n_before = None, -1
+    onto = keys.select(F.col("key").alias("_to"), F.col("key_ord").alias("_to_ord"))
+    arrivals, hot = None, largest > HOT_ROWS
     while True:
         rows = picked
         if arrivals is not None:
             rows = picked.join(arrivals, ["key", "name"], "left_anti").select(*columns).unionByName(arrivals)
-        named = materialise(_suffixed(rows, ["ord"], log.all(), period, 2), "name-suffixes")
-        onto = contested.select(F.col("key").alias("_to"), F.col("key_ord").alias("_to_ord"))
+            hot = None
+        named = materialise(_suffixed(rows, ["ord"], logged, period, 2, hot), "name-suffixes")
         landed = named.filter(F.col("name").isNotNull()).join(
             onto, (F.col("new_key") == F.col("_to")) & (F.col("_to_ord") > F.col("key_ord"))
-        )
-        landed = landed.select(F.col("_to").alias("key"), F.col("_to_ord").alias("key_ord"), "name").distinct()
+        ).select(F.col("_to").alias("key"), F.col("_to_ord").alias("key_ord"), "name").distinct()
+        if arrivals is None and landed.isEmpty():
+            break
         found = materialise(only_new(landed.join(name_ord, "name")).select(*columns), "name-arrivals")
-        n_found = found.count()
-        same = n_found == 0 if arrivals is None else (
-            n_found == n_before and found.select("key", "name").exceptAll(arrivals.select("key", "name")).isEmpty()
-        )
-        if same:
+        pairs = found.select("key", "name")
+        if arrivals is None:
+            settled = pairs.isEmpty()
+        else:
+            before = arrivals.select("key", "name")
+            settled = pairs.exceptAll(before).isEmpty() and before.exceptAll(pairs).isEmpty()
+        if settled:
             break
-        arrivals, n_before = found, n_found
-    log.add(named.select("name", "old_key", "new_key", *LOG_ORDER))
+        arrivals = found
+    log.add(named.select(LOG_COLUMNS))
     last = named.filter(F.col("name").isNotNull()).groupBy("name").agg(F.max_by("new_key", "key_ord").alias("_new"))
     return cur.join(last, "name", "left").withColumn("key", F.coalesce("_new", "key")).drop("_new")
 
@@ -200,14 +196,15 @@ def resolve_keys(df: DataFrame) -> Resolution:
         F.count_if(F.col("issuerid").isNotNull() & (F.col("issuerid") != "")).alias("n_ids")
     )
     periods = sorted((r["period"], r["n_ids"]) for r in found.limit(MAX_PERIODS).collect() if r["period"] is not None)
-    log, prior = _Log(), None
+    log, done = Parts(df.sparkSession, "resolve-log"), Parts(df.sparkSession, "resolve-done")
     columns = ["row_ord", "name", "issuerid", "key"]
     for period, n_ids in periods:
+        prior = done.all()
         cur = _propagate(slim.filter(F.col("period") == period).select(*columns), log.all())
         if n_ids:
-            cur = materialise(_resolve_ids(cur, prior, log, period).select(*columns), "resolve-ids")
-        cur = materialise(_resolve_names(cur, prior, log, period).select(*columns), "resolve-names")
-        prior = cur if prior is None else prior.unionByName(cur)
+            cur = _resolve_ids(cur, prior, log, period)
+        done.add(_resolve_names(cur, prior, log, period).select(*columns))
+    prior = done.all()
     if prior is None:
         raise ValueError("no row has a period")
     keys = prior.select("row_ord", F.col("key").alias("new_key"))

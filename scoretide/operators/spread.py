@@ -75,7 +75,7 @@ def _starts(cut: DataFrame, keys: list[str], weight: Column) -> DataFrame:
 
 
 def group_positions(
-    df: DataFrame, keys: list[str], order: list[str], out: str = "pos", hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: list[str], order: list[str], out: str = "pos", hot: bool | None = None
 ) -> DataFrame:
     """1-based position of every row in its group, in the given order.
 
@@ -83,7 +83,7 @@ def group_positions(
     takes the range-partitioned way: an unpartitioned window would pull every
     row into one task.
     """
-    if keys and not is_hot(df, keys, hot_rows):
+    if keys and not (is_hot(df, keys) if hot is None else hot):
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(out, F.row_number().over(window).cast("long"))
     cut = _spread(df, keys, order)

@@ -73,6 +73,22 @@ def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Parts:
+    """A table that grows by whole parts in the shared folder and is read back in one scan."""
+
+    def __init__(self, spark: SparkSession, label: str) -> None:
+        self.spark, self.base, self.paths, self.schema = spark, fresh_path(spark, label), [], None
+
+    def add(self, df: DataFrame) -> None:
+        path = f"{self.base}/{len(self.paths)}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        self.schema = df.schema
+
+    def all(self) -> DataFrame | None:
+        return self.spark.read.schema(self.schema).parquet(*self.paths) if self.paths else None
+
+
 _shipped: set[str] = set()
 
 
