@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +15,14 @@ from scoretide.sources.lines import number_rows, with_split
 INTERNAL = r"^(z_init|z_trans|sigma_firm_raw)[.\[]"
 FIRST_FIELD = "lp__"
 EXCLUDED = "profile"
+# file:/x and file:///x name the same local file
+LOCAL_SCHEME = r"^file:/+"
 SAMPLER_FIELDS = {"divergent__": "divergent", "treedepth__": "treedepth", "energy__": "energy"}
 
 
 def chain_files(spark: SparkSession, path: str, exclude: str = EXCLUDED) -> list[str]:
     """Chain files in name order; their position is the chain number."""
-    found = sorted(f for f in spark.read.text(path).inputFiles() if exclude not in f.rsplit("/", 1)[-1])
+    found = sorted(re.sub(LOCAL_SCHEME, "/", f) for f in spark.read.text(path).inputFiles() if exclude not in f.rsplit("/", 1)[-1])
     if not found:
         raise FileNotFoundError(f"no chain files under {path}")
     return found
@@ -49,7 +53,8 @@ def read_chains(spark: SparkSession, path: str, drop: str | None = INTERNAL) ->
     text = with_split(spark.read.text(files))
     is_data = (F.length("value") > 0) & ~F.col("value").startswith("#") & ~F.col("value").startswith(FIRST_FIELD)
     numbered = number_rows(text.filter(is_data), "iteration", per_file=True)
-    chain = F.array_position(F.array(*[F.lit(f) for f in files]), F.col("_file")).cast("int")
+    path = F.regexp_replace("_file", LOCAL_SCHEME, "/")
+    chain = F.array_position(F.array(*[F.lit(f) for f in files]), path).cast("int")
     cells = numbered.select(
         chain.alias("chain"), "iteration", F.posexplode(F.split("value", ",")).alias("pos", "cell")
     )
