@@ -6,26 +6,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scoretide.operators.spread import HOT_ROWS, grouped_quantiles, is_hot
+from scoretide.operators.spread import HOT_ROWS, bounded_broadcast, grouped_quantiles, is_hot
 
 
-def _theta_of(draws: DataFrame, ep_table: DataFrame, keys: list[str] | None, chains: list[int] | None) -> DataFrame:
-    """Theta draws with their key and period, cut to the wanted keys before the join."""
+def _theta_of(draws: DataFrame, wanted: DataFrame, cut: bool, chains: list[int] | None) -> DataFrame:
+    """Theta draws of the wanted indexes; a cut to few of them happens before any shuffle."""
     theta = draws.filter(F.col("param") == "theta")
     if chains is not None:
         theta = theta.filter(F.col("chain").isin(chains))
-    wanted = ep_table if keys is None else ep_table.filter(F.col("ticker").isin(keys))
-    return theta.join(wanted, theta["idx"] == wanted["ep_idx"])
+    if cut:
+        theta = theta.join(bounded_broadcast(wanted.select(F.col("ep_idx").alias("idx"))), "idx", "left_semi")
+    return theta
 
 
 def chain_period_means(draws: DataFrame, ep_table: DataFrame, keys: list[str] | None = None,
                        chains: list[int] | None = None) -> DataFrame:
-    """Mean of theta per key, period and chain."""
-    return (
-        _theta_of(draws, ep_table, keys, chains)
-        .groupBy("ticker", "period_idx", "chain")
-        .agg(F.avg("value").alias("chain_mean"))
+    """Mean of theta per key, period and chain.
+
+    Means first: the join then carries one row per parameter and chain, so a
+    parameter with very many draws does not meet it.
+    """
+    wanted = ep_table if keys is None else ep_table.filter(F.col("ticker").isin(keys))
+    means = _theta_of(draws, wanted, keys is not None, chains).groupBy("idx", "chain").agg(
+        F.avg("value").alias("chain_mean")
     )
+    placed = wanted.select("ticker", "period_idx", F.col("ep_idx").alias("idx"))
+    return means.join(placed, "idx").select("ticker", "period_idx", "chain", "chain_mean")
 
 
 def trajectory(draws: DataFrame, ep_table: DataFrame, keys: list[str] | None = None,
@@ -72,12 +78,11 @@ def chain_key_stats(draws: DataFrame, ep_table: DataFrame, keys: list[str] | Non
     if keys is not None:
         ep_table = ep_table.filter(F.col("ticker").isin(keys))
     first = ep_table.groupBy("ticker").agg(F.min_by("ep_idx", "period_idx").alias("ep_idx"))
-    theta = draws.filter(F.col("param") == "theta")
-    start = theta.join(first, theta["idx"] == first["ep_idx"]).select("chain", "ticker", "value")
-    hot = is_hot(start, ["chain", "ticker"], hot_rows)
-    ends = grouped_quantiles(start, ["chain", "ticker"], "value", [0.05, 0.95], "_q", hot)
-    stats = start.groupBy("chain", "ticker").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
-    both = stats.join(ends, ["chain", "ticker"])
+    start = _theta_of(draws, first, True, None).select("chain", "idx", "value")
+    hot = is_hot(start, ["chain", "idx"], hot_rows)
+    ends = grouped_quantiles(start, ["chain", "idx"], "value", [0.05, 0.95], "_q", hot)
+    stats = start.groupBy("chain", "idx").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    both = stats.join(ends, ["chain", "idx"]).join(first.withColumnRenamed("ep_idx", "idx"), "idx")
     return both.select("chain", "ticker", "mean", "sd", F.col("_q")[0].alias("pct05"), F.col("_q")[1].alias("pct95"))
 
 

@@ -76,14 +76,18 @@ def _contested(claims: DataFrame) -> DataFrame:
     return known.join(keys.drop("_n"), "key")
 
 
-def _suffixed(picked: DataFrame, order: list[str], log: DataFrame | None, period: int, stage: int,
-              hot: bool) -> DataFrame:
+def _suffixed(picked: DataFrame, order: list[str], log: DataFrame | None, hot: bool | None) -> DataFrame:
     """New keys for the picked claims: consecutive suffixes per key in the given order."""
     placed = group_positions(picked, ["key"], order, "place", hot)
     numbered = _next_suffix(placed, log)
     return numbered.withColumn(
         "new_key", F.concat_ws(".", "key", (F.col("next") + F.col("place") - 1).cast("string"))
-    ).withColumns({"year_created": F.lit(period), "stage": F.lit(stage)}).withColumnRenamed("key", "old_key")
+    ).withColumnRenamed("key", "old_key")
+
+
+def _entries(named: DataFrame, period: int, stage: int) -> DataFrame:
+    """Log rows. The period is added here, so that the plans before it are the same in every period."""
+    return named.withColumns({"year_created": F.lit(period), "stage": F.lit(stage)}).select(LOG_COLUMNS)
 
 
 def _resolve_ids(cur: DataFrame, prior: DataFrame | None, log: Parts, period: int) -> DataFrame:
@@ -110,9 +114,9 @@ def _resolve_ids(cur: DataFrame, prior: DataFrame | None, log: Parts, period: in
     ).select("key", F.when(F.col("_past"), F.col("_old")).otherwise(F.col("_low")).alias("_keeper"))
     moved = contested.join(keeper, "key").filter(F.col("issuerid") != F.col("_keeper"))
     named = materialise(
-        _suffixed(moved, ["issuerid", "ord"], log.all(), period, 1, largest > HOT_ROWS), "id-suffixes"
+        _suffixed(moved, ["issuerid", "ord"], log.all(), largest > HOT_ROWS), "id-suffixes"
     )
-    log.add(named.select(LOG_COLUMNS))
+    log.add(_entries(named, period, 1))
     # every row of the id in this period moves, whatever its key; the last assignment wins
     last = named.groupBy("issuerid").agg(F.max_by("new_key", F.struct("key_ord", "place")).alias("_new"))
     return cur.join(last, "issuerid", "left").withColumn("key", F.coalesce("_new", "key")).drop("_new")
@@ -162,7 +166,7 @@ def _resolve_names(cur: DataFrame, prior: DataFrame | None, log: Parts, period:
         if arrivals is not None:
             rows = picked.join(arrivals, ["key", "name"], "left_anti").select(*columns).unionByName(arrivals)
             hot = None
-        named = materialise(_suffixed(rows, ["ord"], logged, period, 2, hot), "name-suffixes")
+        named = materialise(_suffixed(rows, ["ord"], logged, hot), "name-suffixes")
         landed = named.filter(F.col("name").isNotNull()).join(
             onto, (F.col("new_key") == F.col("_to")) & (F.col("_to_ord") > F.col("key_ord"))
         ).select(F.col("_to").alias("key"), F.col("_to_ord").alias("key_ord"), "name").distinct()
@@ -178,7 +182,7 @@ def _resolve_names(cur: DataFrame, prior: DataFrame | None, log: Parts, period:
         if settled:
             break
         arrivals = found
-    log.add(named.select(LOG_COLUMNS))
+    log.add(_entries(named, period, 2))
     last = named.filter(F.col("name").isNotNull()).groupBy("name").agg(F.max_by("new_key", "key_ord").alias("_new"))
     return cur.join(last, "name", "left").withColumn("key", F.coalesce("_new", "key")).drop("_new")
 

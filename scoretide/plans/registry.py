@@ -15,6 +15,7 @@ from scoretide.functions.values import is_concern, param_index, param_name
 from scoretide.operators import chains as ch
 from scoretide.operators import clean, model, panel, posterior, resolve
 from scoretide.operators import convergence as conv
+from scoretide.plans import fit
 from scoretide.plans import views as v
 from scoretide.session import fresh_path, materialise
 from scoretide.sources import chains as chain_files
@@ -514,6 +515,54 @@ def item_labels(spark, sf):
     return items.select("item_col", is_concern(F.col("item_col")).alias("is_concern"))
 
 
+# fits
+
+
+def _panel_and_anchors(spark, sf):
+    o = materialise(v.obs(spark, sf), "obs")
+    return o, v.anchors(o)
+
+
+@query
+def fit_em(spark, sf):
+    got = fit.fit_em(*_panel_and_anchors(spark, sf), max_rounds=8)
+    got.data.close()
+    return got.scores()
+
+
+@query
+def fit_em_items(spark, sf):
+    got = fit.fit_em(*_panel_and_anchors(spark, sf), max_rounds=4)
+    got.data.close()
+    return got.item_params()
+
+
+@query
+def fit_em_static(spark, sf):
+    got = fit.fit_em(*_panel_and_anchors(spark, sf), max_rounds=4, dynamic=False)
+    got.data.close()
+    return got.scores()
+
+
+@query
+def fit_gibbs(spark, sf):
+    return fit.fit_gibbs(*_panel_and_anchors(spark, sf), chains=2, iterations=3, burn=1).draws
+
+
+@query
+def fit_to_scores(spark, sf):
+    """Fit, draw from the fit, summarise: the whole way from observations to a score table."""
+    o, anchors = _panel_and_anchors(spark, sf)
+    got = fit.fit_em(o, anchors, max_rounds=4)
+    got.data.close()
+    draws = materialise(fit.posterior_draws(got, 8), "fit-draws")
+    ep = panel.dense_index(panel.entity_periods(o), ["name", "period"], "ep_idx")
+    base = panel.period_base(o)
+    table = panel.with_period_index(ep, base).select(F.col("name").alias("ticker"), "period_idx", "ep_idx")
+    meta = ep.select("name", F.col("name").alias("ticker"), F.col("period").alias("year"))
+    return posterior.scores(draws, table, meta, base)
+
+
 # files
 
 
