@@ -115,8 +115,9 @@ def pointwise_log_lik(obs: DataFrame, theta_draws: DataFrame, item_draws: DataFr
     """Per observation over all draws: log mean likelihood and variance of the log-likelihood.
 
     Draws travel in chunks, so an observation meets ``draws / per_chunk`` rows
-    and not one per draw. Each chunk is reduced to its largest term, its scaled
-    sum and its moments; the chunks then merge exactly.
+    in the joins and not one per draw. Within a chunk the largest term is known
+    beforehand, as the log-likelihood rises with the signed predictor; so the
+    sum is scaled by it, and the chunks then merge exactly.
     """
     theta = pack_draws(theta_draws, [key, "period"], ["theta"], per_chunk)
     items = pack_draws(item_draws, ["indicator", "period"], ["alpha", "beta"], per_chunk)
@@ -127,33 +128,43 @@ def pointwise_log_lik(obs: DataFrame, theta_draws: DataFrame, item_draws: DataFr
             d["alpha"] - d["beta"] * d["theta"]
         ),
     )
-    ll = met.withColumn("_mu", mu).withColumn("_ll", F.transform("_mu", normal_log_cdf))
-    top = F.array_max("_ll")
-    add = lambda acc, v: acc + v
-    chunk = ll.select(
-        key, "indicator", "period",
-        F.size("_ll").cast("long").alias("_n"),
-        top.alias("_top"),
-        F.aggregate(F.transform("_ll", lambda v: F.exp(v - top)), F.lit(0.0), add).alias("_scaled"),
-        F.aggregate("_ll", F.lit(0.0), add).alias("_s1"),
-        F.aggregate(F.transform("_ll", lambda v: v * v), F.lit(0.0), add).alias("_s2"),
+    keys = [key, "indicator", "period"]
+    signed = met.select(*keys, "chunk", mu.alias("_mu")).withColumn("_high", F.array_max("_mu"))
+    signed = signed.withColumn("_top", normal_log_cdf("_high"))
+    # one row per draw from here, inside one generated stage up to the partial sums
+    each = signed.select(*keys, "chunk", "_top", F.explode("_mu").alias("_s"))
+    each = each.withColumn("_ll", normal_log_cdf("_s"))
+    chunk = each.groupBy(*keys, "chunk").agg(
+        F.count("*").alias("_n"), F.first("_top").alias("_top"),
+        F.sum(F.exp(F.col("_ll") - F.col("_top"))).alias("_scaled"),
+        F.sum("_ll").alias("_s1"), F.sum(F.col("_ll") * F.col("_ll")).alias("_s2"),
     )
-    per = chunk.groupBy(key, "indicator", "period").agg(
+    per = chunk.groupBy(*keys).agg(
         F.sum("_n").alias("n_draws"), F.max("_top").alias("_m"),
         F.collect_list(F.struct("_top", "_scaled")).alias("_parts"),
         F.sum("_s1").alias("_s1"), F.sum("_s2").alias("_s2"),
     )
     total = F.aggregate(
-        F.transform("_parts", lambda p: p["_scaled"] * F.exp(p["_top"] - F.col("_m"))), F.lit(0.0), add
+        F.transform("_parts", lambda p: p["_scaled"] * F.exp(p["_top"] - F.col("_m"))), F.lit(0.0),
+        lambda acc, v: acc + v,
     )
     var = F.try_divide(F.col("_s2") - F.col("_s1") * F.col("_s1") / F.col("n_draws"), F.col("n_draws") - 1)
     return per.select(
-        key, "indicator", "period", "n_draws",
+        *keys, "n_draws",
         (F.col("_m") + F.log(total / F.col("n_draws"))).alias("lppd"),
         F.greatest(var, F.lit(0.0)).alias("p_waic"),
     )
 
 
+def sample_observations(obs: DataFrame, fraction: float, seed: int = 61802, key: str = "name") -> DataFrame:
+    """A subsample for pointwise comparisons, which the full data would make very large.
+
+    Chosen by a hash of the observation, so every run and every task agrees on it.
+    """
+    place = F.pmod(F.xxhash64(F.lit(seed), key, "indicator", "period"), F.lit(1_000_000))
+    return obs.filter(place < int(fraction * 1_000_000))
+
+
 def waic(pointwise: DataFrame) -> DataFrame:
     """Totals for model comparison."""
     elpd = F.col("lppd") - F.col("p_waic")

@@ -140,7 +140,7 @@ def item_table(obs: DataFrame) -> DataFrame:
 def entity_period_table(ep: DataFrame, key: str = "name") -> DataFrame:
     """(key, period) with its dense id and its key's dense id."""
     numbered = dense_index(ep, [key, "period"], "ep_idx")
-    return numbered.join(entity_table(ep, key), key, "left")
+    return numbered.join(entity_table(numbered, key), key, "left")
 
 
 def index_observations(obs: DataFrame, ep_table: DataFrame, items: DataFrame, key: str = "name") -> DataFrame:

@@ -52,11 +52,16 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
 
 
 def _spread(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows cut into ranges of (keys, order), with their range and place written beside them.
+
+    The input is written first: counting it and sampling the range bounds then
+    read a table and do not run the plan before it again.
+    """
     spark = df.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.count() // PART_ROWS + 1)
-    cut = df.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
-    # Partition number and row position are written with the data: a range
-    # shuffle samples its bounds, so they must not be computed twice.
+    base = materialise(df, "spread-in")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), base.count() // PART_ROWS + 1)
+    cut = base.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
+    # a range shuffle samples its bounds, so range and place must not be computed twice
     return materialise(
         cut.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()),
         "spread",

@@ -78,19 +78,21 @@ def extract_step(draws: DataFrame, index: dict[str, DataFrame], meta: DataFrame,
     }
 
 
-def diagnose_step(draws: DataFrame, ep_table: DataFrame, anchors: list[str]) -> dict[str, DataFrame]:
-    """Sampler checks, a spot check of R-hat and ESS per parameter class, anchors, scales, verdict."""
+def diagnose_step(draws: DataFrame, ep_table: DataFrame, anchors: tuple[str, str]) -> dict[str, DataFrame]:
+    """Sampler checks, a spot check of R-hat and ESS per parameter class, anchors (negative, positive), scales, verdict."""
     sampler = convergence.sampler_diagnostics(chain_files.sampler_table(draws))
     picked = draws.filter(F.col("param").isin(SCALARS))
     for param, k in SPOT_CHECK.items():
         picked = picked.unionByName(convergence.spaced_draws(draws.filter(F.col("param") == param), k))
     conv = materialise(convergence.convergence(materialise(picked, "spot-check")), "convergence")
+    tracked = materialise(convergence.key_convergence(draws, ep_table, list(anchors)), "anchor-paths")
     return {
         "sampler": sampler,
         "convergence": conv,
         "classes": convergence.convergence_rollup(conv),
         "offenders": convergence.offenders(conv),
-        "anchors": convergence.key_convergence(draws, ep_table, anchors),
+        "anchors": tracked,
+        "anchor_signs": posterior.anchor_check(tracked, *anchors),
         "scales": ch.scale_check(draws),
         "health": convergence.health_report(conv, sampler),
     }

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from scoretide.functions.values import clamp_binary, is_concern
 from scoretide.operators import clean
 from scoretide.operators.spread import group_positions
+from scoretide.session import materialise
 
 INDICATORS = ["pri_str_a", "pri_str_b", "pri_con_a", "sta_str_a", "sta_con_a", "val_str_a", "val_con_a"]
 N_CHAINS = 4
@@ -100,10 +101,11 @@ def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_suppkey", "l_linenumber", *DRAW_ORDER
     )
     placed = group_positions(lines, ["l_suppkey", "l_linenumber"], DRAW_ORDER, "iteration")
-    return placed.select(
+    # a table, as draws are in use: several passes read it
+    return materialise(placed.select(
         F.lit("theta").alias("param"), F.col("l_suppkey").alias("idx"),
         F.col("l_linenumber").alias("chain"), "iteration", F.col("l_extendedprice").alias("value"),
-    )
+    ), "draws")
 
 
 def item_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
