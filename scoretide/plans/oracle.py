@@ -405,5 +405,7 @@ def oracle() -> dict[str, str]:
             coalesce(issuerid, '-') as issuerid, period, row_number() over (order by row_ord) as row_ord, pri_str_a as "PRI_str_a",
             case when val_str_a >= 2 then 1 else val_str_a end as "VAL_str_a",
             coalesce(case when val_con_a >= 2 then 1 else val_con_a end, -1) as "VAL_con_a" from panel_raw"""),
+        "table_hand_off": w(OBS, """select period, indicator, count(*) as n_obs, cast(sum(y) as bigint) as n_ones
+            from obs group by period, indicator"""),
         "write_scores": w(SCORES, "select ticker, year, round(mean, 4) as mean from scores"),
     }

@@ -654,3 +654,14 @@ def write_scores(spark, sf):
     tables.write_scores(rounded(s, 4), path)
     back = spark.read.csv(path, header=True)
     return back.select("ticker", F.col("year").cast("int").alias("year"), F.col("mean").cast("double").alias("mean"))
+
+
+@query
+def table_hand_off(spark, sf):
+    """Panel tables written for the next step and loaded again."""
+    folder = fresh_path(spark, "hand-off")
+    o = v.obs(spark, sf)
+    tables.save_tables({"obs": o, "items": clean.items_by_period(o)}, folder)
+    back = tables.load_table(spark, folder, "items")
+    sums = tables.load_table(spark, folder, "obs").groupBy("period", "indicator").agg(F.sum("y").alias("n_ones"))
+    return back.join(sums, ["period", "indicator"])

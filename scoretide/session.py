@@ -19,6 +19,10 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# The normal functions make generated methods of more than 8,000 bytes, which the
+# JVM leaves uncompiled unless told otherwise; set this for executors too.
+JVM_OPTIONS = "-XX:-DontCompileHugeMethods"
+
 
 def local_session(cores: str = "*", memory: str = "8g", name: str = "scoretide") -> SparkSession:
     """A session for tests and single-machine runs."""
@@ -27,6 +31,7 @@ def local_session(cores: str = "*", memory: str = "8g", name: str = "scoretide")
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.driver.memory", memory)
+        .config("spark.driver.extraJavaOptions", JVM_OPTIONS)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(threads))

@@ -2,9 +2,12 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import entry, oracle_sql, queries
+from scoretide.operators.model import sample_observations
 from scoretide.plans import steps
+from scoretide.plans.fit import std_normal
 from scoretide.plans import views as v
 from scoretide.sources import chains as cf
 
@@ -97,3 +100,37 @@ def test_steps_from_raw_panel_to_reports(spark, sf):
     ep = index["entity_period"]
     assert index["transitions"].count() + index["starts"].count() == ep.count()
     assert index["indexed"].filter("ep_idx is null or item_idx is null").isEmpty()
+
+
+def test_steps_from_draws_to_reports(spark):
+    """Extract and diagnose on draws with every kind of parameter."""
+    sizes = {"theta": 6, "alpha": 4, "beta": 4, "sigma_firm": 3}
+    names = [(p, i) for p, n in sizes.items() for i in range(1, n + 1)]
+    names += [(p, 0) for p in ("sigma_global", "sigma_init", "energy__")]
+    grid = spark.createDataFrame(names, "param string, idx long")
+    grid = grid.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("chain"))
+    grid = grid.select("*", F.explode(F.sequence(F.lit(1), F.lit(60))).alias("iteration"))
+    draws = grid.withColumn("value", std_normal("param", "idx", "chain", "iteration"))
+    for field in ("divergent__", "treedepth__"):
+        draws = draws.unionByName(draws.filter("param = 'energy__'").withColumns(
+            {"param": F.lit(field), "value": F.lit(0.0)}))
+    ep = spark.createDataFrame([("A", 1, 1), ("A", 2, 2), ("B", 1, 3), ("B", 2, 4), ("C", 1, 5), ("C", 2, 6)],
+                               "ticker string, period_idx int, ep_idx long")
+    items = spark.createDataFrame([(f"x_{k}_{i}", 1, i) for i, k in enumerate(("str", "con", "str", "con"), 1)],
+                                  "item_col string, period_idx int, item_idx long")
+    meta = spark.createDataFrame([("Alpha", "A", 1991), ("Alpha", "A", 1992)], "name string, ticker string, year int")
+    got = steps.extract_step(draws, {"entity_period": ep, "item": items}, meta, 1990)
+    assert got["scores"].count() == 6 and got["scores"].filter("name = 'Alpha'").count() == 2
+    assert got["item_params"].filter("alpha_mean is not null and beta_sd is not null").count() == 4
+    assert got["beta_signs"].agg(F.sum("n")).first()[0] == 4
+    report = steps.diagnose_step(draws, ep, ("A", "B"))
+    assert report["health"].first().n_checked == sum(sizes.values()) + 2
+    assert {r.ticker: r.n_periods for r in report["anchor_signs"].collect()} == {"A": 2, "B": 2}
+    assert report["scales"].count() == 2 and report["sampler"].first().n_divergent == 0
+
+
+def test_sample_is_stable(spark, sf):
+    obs = v.obs(spark, sf)
+    a = sample_observations(obs, 0.3).select("name", "period", "indicator")
+    assert a.exceptAll(sample_observations(obs, 0.3).select("name", "period", "indicator")).isEmpty()
+    assert 0.2 < a.count() / obs.count() < 0.4
