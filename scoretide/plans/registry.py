@@ -639,7 +639,7 @@ def read_panel(spark, sf):
     )
     path = fresh_path(spark, "panel-csv")
     out.write.csv(path, header=True)
-    tidy, indicators = panel_files.tidy_panel(panel_files.read_panel(spark, path), "HUM_str_num")
+    tidy, indicators = panel_files.tidy_panel(panel_files.read_panel(spark, path), "pri_str_num")
     return tidy.select(
         "name", F.coalesce("ticker", F.lit("-")).alias("ticker"), F.coalesce("issuerid", F.lit("-")).alias("issuerid"),
         "period", "row_ord", *[F.coalesce(c, F.lit(-1)).alias(c) for c in indicators],
