@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scoretide.llm.common import table
 from scoretide.llm.exact_dedup import content_sort
+from scoretide.llm.packing import pack
 
 
 def op1_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -14,4 +15,11 @@ def op1_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup}
+def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(table(spark, sf, "documents", "doc_id", "text"))
+
+
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op4_packing": op4_packing,
+}
