@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,14 +39,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def over_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``work`` over the Arrow batches of each partition, with this package at hand on the executors."""
+    """``work`` over the Arrow batches of each partition, with this package at hand on the executors. Spark bounds the
+    batches by rows and bytes, so many long texts do not meet in one."""
     ship_code(df.sparkSession)
     return df.mapInArrow(work, schema)
 
 
 def slices(batch: pa.RecordBatch, column: str, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """``batch`` in pieces whose ``column`` holds about ``chars`` bytes, one row at least."""
-    size = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start = total = 0
     for i, n in enumerate(size):
         if i > start and total + n > chars:

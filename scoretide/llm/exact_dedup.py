@@ -31,7 +31,7 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Repeated rows are members like any other; one of them stays. Other columns of the input are left alone; names cannot
     clash, because they are only carried inside ``row``.
     """
-    text = text_of(text_col)
+    text = text_of(f"`{text_col}`")
     body = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if keep_rows else without_white(text).alias("norm")
     rows = stored(docs.select(
         F.col(f"`{id_col}`").alias("id"), F.length(text).alias("chars"), F.monotonically_increasing_id().alias("place"),

@@ -226,5 +226,5 @@ def pack(
 
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if keep_ids else [])]
     schema = ", ".join(f"{name} {'array<int>' if name == 'ids' else 'long'}" for name in names)
-    rows = docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), text_of(text_col).alias("text"))
+    rows = docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), text_of(f"`{text_col}`").alias("text"))
     return over_batches(rows, work, schema).withColumnRenamed("id", id_col)

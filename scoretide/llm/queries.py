@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scoretide.llm.common import table
 from scoretide.llm.exact_dedup import content_sort
 from scoretide.llm.packing import pack
+from scoretide.llm.secrets import scan_secrets
 
 
 def op1_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -15,11 +16,16 @@ def op1_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return scan_secrets(table(spark, sf, "documents", "doc_id", "text"))
+
+
 def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(table(spark, sf, "documents", "doc_id", "text"))
 
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_secret_scan": op2_secret_scan,
     "op4_packing": op4_packing,
 }
