@@ -9,6 +9,7 @@ from scoretide.llm.common import table
 from scoretide.llm.exact_dedup import content_sort
 from scoretide.llm.packing import pack
 from scoretide.llm.secrets import scan_secrets
+from scoretide.llm.toxicity import score_toxicity
 
 
 def op1_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -24,8 +25,13 @@ def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(table(spark, sf, "documents", "doc_id", "text"))
 
 
+def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return score_toxicity(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "labels", "doc_id", "toxic"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op4_packing": op4_packing,
+    "op6_toxicity": op6_toxicity,
 }
