@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scoretide.session import fresh_path, ship_code
 
@@ -38,13 +39,23 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def over_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def over_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """``work`` over the Arrow batches of each partition, with this package at hand on the executors. Spark bounds the
     batches by rows and bytes, so many long texts do not meet in one."""
     ship_code(df.sparkSession)
     return df.mapInArrow(work, schema)
 
 
+def row_struct(docs: DataFrame) -> Column:
+    """The whole row as one struct, so that its column names cannot meet an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
+def added(df: DataFrame, columns: str, drop: str = "text") -> T.StructType:
+    """The schema of ``df`` without ``drop`` and with ``columns`` behind it."""
+    return T.StructType([f for f in df.schema.fields if f.name != drop] + T.StructType.fromDDL(columns).fields)
+
+
 def slices(batch: pa.RecordBatch, column: str, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """``batch`` in pieces whose ``column`` holds about ``chars`` bytes, one row at least."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()

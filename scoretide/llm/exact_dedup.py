@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoretide.llm.common import stored, text_of, without_white
+from scoretide.llm.common import row_struct, stored, text_of, without_white
 
 # A text is hot when it holds more than one HOT_SHARE-th of all rows, so there are fewer than HOT_SHARE hot texts.
 HOT_SHARE = 1024
@@ -32,7 +32,7 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     clash, because they are only carried inside ``row``.
     """
     text = text_of(f"`{text_col}`")
-    body = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if keep_rows else without_white(text).alias("norm")
+    body = row_struct(docs) if keep_rows else without_white(text).alias("norm")
     rows = stored(docs.select(
         F.col(f"`{id_col}`").alias("id"), F.length(text).alias("chars"), F.monotonically_increasing_id().alias("place"),
         F.left(without_white(text), F.lit(SPLITTER_CHARS)).alias("lead"), F.xxhash64(without_white(text)).alias("digest"), body,

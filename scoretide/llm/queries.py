@@ -9,6 +9,7 @@ from scoretide.llm.common import table
 from scoretide.llm.exact_dedup import content_sort
 from scoretide.llm.packing import pack
 from scoretide.llm.secrets import scan_secrets
+from scoretide.llm.simhash import near_duplicates
 from scoretide.llm.toxicity import score_toxicity
 
 
@@ -21,6 +22,10 @@ def op2_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return scan_secrets(table(spark, sf, "documents", "doc_id", "text"))
 
 
+def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(table(spark, sf, "documents", "doc_id", "text")).select("doc_id", "fingerprint", "component_id")
+
+
 def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(table(spark, sf, "documents", "doc_id", "text"))
 
@@ -32,6 +37,7 @@ def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_secret_scan": op2_secret_scan,
+    "op3_simhash": op3_simhash,
     "op4_packing": op4_packing,
     "op6_toxicity": op6_toxicity,
 }

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoretide.llm.common import over_batches, slices, text_of
+from scoretide.llm.common import added, over_batches, row_struct, slices, text_of
 
 KINDS = ["assign", "access", "hex", "guess"]
 
@@ -180,12 +180,11 @@ def scan_secrets(
              "max_log10_guesses": pa.float64(), "masked": pa.string()}
     names = list(kinds)[: 8 if keep_rows else 7]
     rows = docs.select(
-        F.col(f"`{id_col}`").alias("id"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep_rows else []),
+        F.col(f"`{id_col}`").alias("id"), *([row_struct(docs)] if keep_rows else []),
         text_of(f"`{text_col}`").alias("text"),
     )
     spell = {pa.int64(): "long", pa.string(): "string", pa.float64(): "double"}
-    lead = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
-    schema = lead + ", " + ", ".join(f"{n} {spell[kinds[n]]}" for n in names)
+    schema = added(rows, ", ".join(f"{n} {spell[kinds[n]]}" for n in names))
     return over_batches(rows, work, schema).withColumnRenamed("id", id_col)
 
 
