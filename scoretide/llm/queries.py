@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoretide.llm.common import table
+from scoretide.llm.embedding import near_vectors
 from scoretide.llm.exact_dedup import content_sort
 from scoretide.llm.packing import pack
 from scoretide.llm.secrets import scan_secrets
@@ -34,10 +35,15 @@ def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return score_toxicity(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "labels", "doc_id", "toxic"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_vectors(table(spark, sf, "embeddings", "vec_id", "embedding", "label"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_simhash": op3_simhash,
     "op4_packing": op4_packing,
     "op6_toxicity": op6_toxicity,
+    "op9_embedding_dedup": op9_embedding_dedup,
 }
