@@ -12,6 +12,7 @@ from scoretide.llm.packing import pack
 from scoretide.llm.secrets import scan_secrets
 from scoretide.llm.simhash import near_duplicates
 from scoretide.llm.toxicity import score_toxicity
+from scoretide.llm.warc import archive_round_trip
 
 
 def op1_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -35,6 +36,11 @@ def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return score_toxicity(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "labels", "doc_id", "toxic"))
 
 
+def op7_warc(spark: SparkSession, sf: str) -> DataFrame:
+    read = archive_round_trip(table(spark, sf, "pages", "page_id", "url", "html"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_vectors(table(spark, sf, "embeddings", "vec_id", "embedding", "label"))
 
@@ -45,5 +51,6 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_packing": op4_packing,
     "op6_toxicity": op6_toxicity,
+    "op7_warc": op7_warc,
     "op9_embedding_dedup": op9_embedding_dedup,
 }
