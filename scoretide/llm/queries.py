@@ -9,6 +9,7 @@ from scoretide.llm.common import table
 from scoretide.llm.embedding import near_vectors
 from scoretide.llm.exact_dedup import content_sort
 from scoretide.llm.packing import pack
+from scoretide.llm.passages import drop_repeats
 from scoretide.llm.secrets import scan_secrets
 from scoretide.llm.simhash import near_duplicates
 from scoretide.llm.toxicity import score_toxicity
@@ -45,6 +46,10 @@ def op9_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_vectors(table(spark, sf, "embeddings", "vec_id", "embedding", "label"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return drop_repeats(table(spark, sf, "documents", "doc_id", "text"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -53,4 +58,5 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_warc": op7_warc,
     "op9_embedding_dedup": op9_embedding_dedup,
+    "op10_substring_dedup": op10_substring_dedup,
 }
