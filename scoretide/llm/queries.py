@@ -10,6 +10,8 @@ from scoretide.llm.embedding import near_vectors
 from scoretide.llm.exact_dedup import content_sort
 from scoretide.llm.packing import pack
 from scoretide.llm.passages import drop_repeats
+from scoretide.llm.pieces import decode_pieces, encode_pieces
+from scoretide.llm.quality import sample_quality
 from scoretide.llm.secrets import scan_secrets
 from scoretide.llm.simhash import near_duplicates
 from scoretide.llm.toxicity import score_toxicity
@@ -33,6 +35,10 @@ def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(table(spark, sf, "documents", "doc_id", "text"))
 
 
+def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return sample_quality(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "labels", "doc_id", "quality"))
+
+
 def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return score_toxicity(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "labels", "doc_id", "toxic"))
 
@@ -42,6 +48,12 @@ def op7_warc(spark: SparkSession, sf: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of every text, and the digest of what they decode to."""
+    encoded = encode_pieces(table(spark, sf, "documents", "doc_id", "text"))
+    return decode_pieces(encoded).select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_vectors(table(spark, sf, "embeddings", "vec_id", "embedding", "label"))
 
@@ -55,8 +67,10 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_simhash": op3_simhash,
     "op4_packing": op4_packing,
+    "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
     "op7_warc": op7_warc,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
