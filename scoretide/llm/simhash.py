@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import product
 
@@ -22,6 +23,11 @@ RADIUS = 2
 WORDS = 4
 TILE = 1024
 
+# Minimal hashes in a sketch, and how far an estimated similarity may lie below the wanted one (about one deviation).
+SKETCH = 128
+SLACK = 0.03
+MULTIPLIERS = np.random.default_rng(SEED).integers(0, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     """64-bit SimHash of the word shingles of ``text``, letters A-Z in lower case."""
@@ -38,75 +44,106 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, keep_rows: bool = False) -> DataFrame:
-    """id, fp and, with ``keep_rows``, the input row as ``row``."""
+def sketch(text: str, shingle: int) -> tuple[bytes, int]:
+    """Low bytes of ``SKETCH`` minimal hashes of the distinct word shingles of ``text``, and how many shingles there are."""
+    words = text.encode().lower().split()
+    grams = set(zip(*[words[k:] for k in range(shingle)])) if len(words) >= shingle else {tuple(words)} if words else set()
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    hashes = np.fromiter((digest(join(g), SEED) for g in grams), dtype="<u8", count=len(grams))
+    least = np.full(SKETCH, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), 4096):
+        mixed = hashes[at : at + 4096, None] * MULTIPLIERS[None, :]
+        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(29))).min(axis=0))
+    return (least & np.uint64(0xFF)).astype(np.uint8).tobytes(), len(grams)
+
+
+def fingerprints(
+    docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, similar: int | None = None, keep_rows: bool = False,
+) -> DataFrame:
+    """id, fp, with ``similar`` words per shingle also ``sketch`` and ``size``, and with ``keep_rows`` the input row as ``row``."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                found = np.array([fingerprint(t, shingle) for t in part.column("text").to_pylist()], dtype=np.uint64)
+                texts = part.column("text").to_pylist()
+                found = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64)
+                more = list(zip(*(sketch(t, similar) for t in texts))) if similar else []
                 lead = [c for c in part.schema.names if c != "text"]
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in lead] + [pa.array(found.view(np.int64))], names=[*lead, "fp"])
+                columns = [part.column(c) for c in lead] + [pa.array(found.view(np.int64))]
+                columns += [pa.array(more[0], pa.binary()), pa.array(more[1], pa.int32())] if similar else []
+                yield pa.RecordBatch.from_arrays(columns, names=[*lead, "fp", *(["sketch", "size"] if similar else [])])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), *([row_struct(docs)] if keep_rows else []), text_of(f"`{text_col}`").alias("text"))
-    return over_batches(rows, work, added(rows, "fp long"))
+    return over_batches(rows, work, added(rows, "fp long" + (", sketch binary, size int" if similar else "")))
 
 
-def _counts() -> list[Column]:
-    return [F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF).cast("long"))).alias(f"p{k}") for k in range(WORDS)]
+def _word_counts(fp: str) -> list[Column]:
+    return [F.bit_count(F.shiftrightunsigned(fp, 16 * k).bitwiseAND(F.lit(0xFFFF).cast("long"))) for k in range(WORDS)]
 
 
-def _cell(counts: list[Column]) -> Column:
-    cell = F.lit(0)
-    for count in counts:
-        cell = cell * 17 + count
-    return cell
+def _steps(reach: list[int], total: int | None) -> list[tuple[int, ...]]:
+    """Differences of cells that can hold links, one of each pair of opposites."""
+    steps = product(*[range(-r, r + 1) for r in reach])
+    return [d for d in steps if d >= (0,) * len(reach) and (total is None or sum(map(abs, d)) <= total)]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """(a, b): links between different fingerprints that join the same ones as all pairs within ``radius`` bits do.
+def links(nodes: DataFrame, counts: list[Column], steps: list[tuple[int, ...]], radius: int, agree: float | None = None, tile: int = TILE) -> DataFrame:
+    """(a, b): links between rows of ``nodes`` (node, fp and, with ``agree``, sketch) that join the same nodes as all pairs within
+    ``radius`` bits, whose sketches agree in the share ``agree`` at least, do.
 
-    Cells hold fingerprints with equal bit counts of their four words. Two cells whose counts differ by more than the
-    radius in sum cannot hold a link and never meet. Cells are cut into tiles of about ``tile`` fingerprints; pairs of
-    tiles are compared in full by exclusive-or and bit counts. A pair of tiles gives back stars, so groups of
-    any size give fewer links than they have members in the two tiles.
+    ``counts`` make cells; only cells that differ by one of ``steps`` or its opposite can hold links, so no others meet.
+    Cells are cut into tiles of about ``tile`` rows; pairs of tiles are compared in full by exclusive-or and bit counts. A
+    pair of tiles gives back stars, so groups of any size give fewer links than they have members in the two tiles.
     """
-    cells = distinct.select("fp", *_counts()).withColumn("cell", _cell([F.col(f"p{k}") for k in range(WORDS)]))
-    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / tile).alias("parts"))  # at most 17**4 rows
-    tiles = cells.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
-    tiles = stored(tiles.groupBy("cell", "part", *[f"p{k}" for k in range(WORDS)]).agg(F.collect_list("fp").alias("fps")), "tiles")
-
-    near = [d for d in product(range(-radius, radius + 1), repeat=WORDS) if sum(map(abs, d)) <= radius and d >= (0,) * WORDS]
-    steps = F.array(*[F.array(*[F.lit(x) for x in d]) for d in near])
-    left = tiles.select("part", "fps", *[f"p{k}" for k in range(WORDS)], F.explode(steps).alias("step"))
-    moved = [F.col(f"p{k}") + F.col("step")[k] for k in range(WORDS)]
-    for count in moved:
-        left = left.where(count.between(0, 16))
-    left = left.select(F.col("part").alias("part_a"), F.col("fps").alias("fps_a"), _cell(moved).alias("cell"), (F.forall("step", lambda x: x == 0)).alias("same"))
-    pairs = left.join(tiles.select("cell", "part", "fps"), "cell").where(~F.col("same") | (F.col("part") >= F.col("part_a")))
+    names = [f"c{k}" for k in range(len(counts))]
+    cells = nodes.select("*", *[c.alias(n) for c, n in zip(counts, names)])
+    sizes = cells.groupBy(*names).agg(F.ceil(F.count("*") / tile).alias("parts"))  # at most 17**4 rows, or 65 per size
+    cut = cells.join(F.broadcast(sizes), names).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    held = ["node", "fp", *(["sketch"] if agree else [])]
+    tiles = cut.groupBy(*names, "part").agg(F.collect_list(F.struct(*held)).alias("m")).select(*names, "part", *[F.col(f"m.{h}").alias(h) for h in held])
+    tiles = stored(tiles, "tiles")
+
+    step = F.explode(F.array(*[F.array(*[F.lit(x) for x in d]) for d in steps])).alias("step")
+    left = tiles.select(*names, F.col("part").alias("part_a"), *[F.col(h).alias(f"{h}_a") for h in held], step)
+    left = left.select(*[(F.col(n) + F.col("step")[k]).alias(n) for k, n in enumerate(names)], "part_a", *[f"{h}_a" for h in held],
+                       F.forall("step", lambda x: x == 0).alias("same"))
+    pairs = left.join(tiles, names).where(~F.col("same") | (F.col("part") >= F.col("part_a")))
+    pairs = pairs.select(*[f"{h}_a" for h in held], *held, (F.col("same") & (F.col("part") == F.col("part_a"))).alias("own"))
+
+    def numbers(column: pa.Array, k: int) -> np.ndarray:
+        return column[k].values.to_numpy(zero_copy_only=False).view(np.uint64)
+
+    def sketches(column: pa.Array, k: int) -> np.ndarray:
+        return np.frombuffer(b"".join(column[k].values.to_pylist()), np.uint8).reshape(-1, SKETCH)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a_all, b_all, own = batch.column("fps_a"), batch.column("fps"), batch.column("own").to_pylist()
-            out_a, out_b = [], []
+            own, out_a, out_b = batch.column("own").to_pylist(), [], []
             for k in range(batch.num_rows):
-                a, b = (x[k].values.to_numpy(zero_copy_only=False).view(np.uint64) for x in (a_all, b_all))
+                a, b = numbers(batch.column("fp_a"), k), numbers(batch.column("fp"), k)
                 i, j = np.nonzero(np.bitwise_count(a[:, None] ^ b[None, :]) <= radius)
                 if own[k]:
                     keep = i < j
-                    i, j, nodes = i[keep], j[keep], a
-                else:
-                    j, nodes = j + len(a), np.concatenate([a, b])
-                i, j = forest(i, j, len(nodes))
-                out_a.append(nodes[i])
-                out_b.append(nodes[j])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (out_a, out_b)], names=["a", "b"])
-
-    pairs = pairs.select("fps_a", "fps", (F.col("same") & (F.col("part") == F.col("part_a"))).alias("own"))
+                    i, j = i[keep], j[keep]
+                if agree and len(i):
+                    x, y = sketches(batch.column("sketch_a"), k), sketches(batch.column("sketch"), k)
+                    near = np.concatenate([(x[i[at : at + 65_536]] == y[j[at : at + 65_536]]).sum(axis=1) for at in range(0, len(i), 65_536)])
+                    i, j = i[near >= agree * SKETCH], j[near >= agree * SKETCH]
+                if len(i):
+                    names_of = numbers(batch.column("node_a"), k)
+                    if not own[k]:
+                        j, names_of = j + len(a), np.concatenate([names_of, numbers(batch.column("node"), k)])
+                    i, j = forest(i, j, len(names_of))
+                    out_a.append(names_of[i])
+                    out_b.append(names_of[j])
+            none = [np.zeros(0, np.uint64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x or none).view(np.int64)) for x in (out_a, out_b)], names=["a", "b"])
+
     return over_batches(pairs, work, "a long, b long")
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, keep_rows: bool = False,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS,
+    similarity: float | None = None, similar: int = 5, keep_rows: bool = False,
 ) -> DataFrame:
     """One row per input row: the id, ``fingerprint`` (16 hex digits), ``component_id``, ``kept`` and, with ``keep_rows``, the
     input row as ``row``.
@@ -114,18 +151,30 @@ def near_duplicates(
     Fingerprints link when they differ in at most ``radius`` bits; ``component_id`` is the smallest id that links reach. One
     row of each component has ``kept``: the one with the smallest id, then fingerprint, then place in the input.
 
+    Without ``similarity`` tiles go by the bit counts of the fingerprints' four words, whose differences add up to no more than
+    the radius. With ``similarity``, which allows a wide radius, a link also needs that share of common
+    ``similar``-word shingles, as 128 minimal hashes estimate it, less ``SLACK``; tiles then go by the number of
+    shingles, in steps of that share, and the bit count.
+
     NULL and empty texts have fingerprint zero, which links like any other. NULL ids never become a component id unless
     all ids of a component are NULL. Repeated rows share a fingerprint. An empty table gives an empty result.
     """
-    rows = stored(fingerprints(docs, id_col, text_col, shingle, keep_rows).withColumn("place", F.monotonically_increasing_id()), "fp")
+    rows = fingerprints(docs, id_col, text_col, shingle, similar if similarity else None, keep_rows)
+    rows = stored(rows.withColumn("place", F.monotonically_increasing_id()), "fp")
+    key = ["fp", "sketch", "size"] if similarity else ["fp"]
     first = F.min(F.struct(F.col("id").isNull().alias("lost"), "id", "fp", "place"))
-    distinct = stored(rows.groupBy("fp").agg(first.alias("first")), "fps")
-    roots = components(links(distinct.select("fp"), radius))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    distinct = stored(rows.groupBy(*key).agg(first.alias("first"), F.min("place").alias("node")), "fps")
+    if similarity:
+        size = F.floor(F.log(F.greatest(F.col("size"), F.lit(1))) / -math.log(similarity)).cast("int")
+        found = links(distinct.select("node", "fp", "sketch", "size"), [size, F.bit_count("fp")], _steps([1, radius], None), radius, similarity - SLACK)
+    else:
+        found = links(distinct.select("node", "fp"), _word_counts("fp"), _steps([radius] * WORDS, radius), radius)
+    roots = components(found).withColumnRenamed("node", "member")
+    rooted = distinct.join(roots, distinct["node"] == roots["member"], "left").select(*key, "first", F.coalesce("root", "node").alias("root"))
     best = rooted.groupBy("root").agg(F.min("first").alias("best"))
-    known = stored(rooted.join(best, "root").select("fp", "best"), "classes")
-    found = rows.join(known, "fp").withColumn("kept", F.col("place") == F.col("best.place"))
-    return found.select(
+    known = stored(rooted.join(best, "root").select(*key, "best"), "classes")
+    out = rows.join(known, key).withColumn("kept", F.col("place") == F.col("best.place"))
+    return out.select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.id").alias("component_id"), "kept",
         *(["row"] if keep_rows else []),
     )
