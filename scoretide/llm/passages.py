@@ -54,16 +54,18 @@ class Words:
 
     def __init__(self) -> None:
         self.ids: dict[bytes, int] = {}
-        self.hashes = np.zeros(0, _U)
+        self.hashes = np.zeros(4096, _U)
 
-    def __call__(self, words: list[bytes]) -> tuple[list[int], np.ndarray]:
+    def __call__(self, words: list[bytes]) -> np.ndarray:
         known = self.ids
         new = [w for w in dict.fromkeys(words) if w not in known]
         if new:
-            known.update(zip(new, range(len(known), len(known) + len(new))))
-            self.hashes = np.concatenate([self.hashes, np.fromiter((xxhash.xxh64_intdigest(w) for w in new), _U, len(new))])
-        ids = [known[w] for w in words]
-        return ids, self.hashes[ids] if ids else self.hashes[:0]
+            n = len(known)
+            while n + len(new) > len(self.hashes):
+                self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+            self.hashes[n : n + len(new)] = np.fromiter(map(xxhash.xxh64_intdigest, new), _U, len(new))
+            known.update(zip(new, range(n, n + len(new))))
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
 class Sums:
@@ -110,7 +112,8 @@ def _phrases(window: int, phrase: int):
             for part in slices(batch, "text"):
                 number, found, shards = Words(), [], []
                 for text, shard in zip(part.column("text").to_pylist(), part.column("shard").to_pylist()):
-                    found.append(Blocks(number(text.encode().split())[1], window, phrase))
+                    ids = number(text.encode().split())
+                    found.append(Blocks(number.hashes[ids], window, phrase))
                     shards.append(np.full(len(found[-1].at), shard, np.int64))
                 columns = np.concatenate([x.phrase for x in found]), np.concatenate([x.body for x in found])
                 yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns] + [pa.array(np.concatenate(shards))], names=["phrase", "body", "shard"])
@@ -132,47 +135,59 @@ def _cover(n: int, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
 
 
 def _locate(window: int, phrase: int, keep_text: bool):
-    """Per shard: compile the automaton of its recurring phrases and stream its documents through it."""
+    """Per shard: compile the automaton of its recurring phrases and stream its documents through it.
+
+    ``recurring`` has the shard's blocks with such a phrase: ``whole`` where the block itself recurs, and ``speaks`` where
+    its windows must be compared with those of other blocks, once for all blocks like it.
+    """
     def work(docs: pa.Table, recurring: pa.Table) -> pa.Table:
         number, rows = Words(), []
-        values = recurring.column("phrase").to_numpy().astype(np.int64).view(_U)
-        order = np.argsort(values)
-        values, alike = values[order], recurring.column("alike").to_numpy()[order].astype(bool)
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        columns = {c: recurring.column(c).to_numpy() for c in ("phrase", "body", "whole", "speaks")}
+        phrases, bodies = (columns[c].astype(np.int64).view(_U) for c in ("phrase", "body"))
+        order = np.argsort(bodies)
+        phrases, bodies, whole, speaks = phrases[order], bodies[order], columns["whole"].astype(bool)[order], columns["speaks"].astype(bool)[order]
+
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
         for text in docs.column("text").to_pylist():
             words = text.encode().split()
-            ids, hashes = number(words)
-            blocks = Blocks(hashes, window, phrase)
-            rows.append((words, tuple(ids), blocks))
-            if len(values) and len(blocks.at):
-                k = np.minimum(np.searchsorted(values, blocks.phrase), len(values) - 1)
-                for i in np.flatnonzero(values[k] == blocks.phrase):
-                    at = blocks.at[i]
-                    automaton.add_word(tuple(ids[at : at + phrase]), 1 if alike[k[i]] else 2)
+            ids = number(words)
+            blocks = Blocks(number.hashes[ids], window, phrase)
+            of = np.full(len(blocks.at), -1)  # the block's line in ``recurring``
+            if len(bodies) and len(of):
+                k = np.minimum(np.searchsorted(bodies, blocks.body), len(bodies) - 1)
+                of = np.where((bodies[k] == blocks.body) & (phrases[k] == blocks.phrase), k, -1)
+            key = tuple(ids.tolist())
+            for at in blocks.at[of >= 0].tolist():
+                automaton.add_word(key[at : at + phrase])
+            rows.append((words, ids, key, blocks, of))
         if len(automaton):
             automaton.make_automaton()
 
         out: dict[str, list] = {c: [] for c in COLUMNS}
-        for words, ids, blocks in rows:
-            located = np.zeros(len(words) + 1, np.int8)
-            if len(automaton) and len(blocks.at):
-                hits = list(automaton.iter(ids))
-                if hits:
-                    ends, kinds = zip(*hits)
-                    located[np.array(ends) - phrase + 1] = kinds
-            kind = located[blocks.at]
-            first, stop = blocks.first[kind == 1], blocks.last[kind == 1] + window
-            doubt = np.flatnonzero(kind == 2)
-            size = blocks.last[doubt] - blocks.first[doubt] + 1
-            starts = np.repeat(blocks.first[doubt], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            removed = _cover(len(words), first, stop)
+        for words, ids, key, blocks, of in rows:
+            if len(automaton) and len(key) >= window:
+                located = np.zeros(len(key), bool)
+                ends = [end for end, _ in automaton.iter(key)]
+                located[np.array(ends, np.int64) - phrase + 1] = True
+                of = np.where(located[blocks.at], of, -1) if len(of) else of
+            known = np.flatnonzero(of >= 0)
+            full = known[whole[of[known]]]
+            removed = _cover(len(words), blocks.first[full], blocks.last[full] + window)
+            telling = known[speaks[of[known]]]
+            common = whole[of[telling]]  # blocks that recur speak once, at their first occurrence here
+            speaking, at = np.unique(of[telling[common]], return_index=True)
+            speaks[speaking] = False
+            telling = np.concatenate([telling[~common], telling[common][at]])
+            size = blocks.last[telling] - blocks.first[telling] + 1
+            starts = np.repeat(blocks.first[telling], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            asked = np.repeat(~whole[of[telling]], size)
             gone, digest, kept = kept_words(words, removed)
-            hashes = number.hashes[list(ids)] if len(starts) else None
-            values_of = [Sums(hashes, w).spans(starts, window).view(np.int64) if len(starts) else [] for w in (0, 1)]
-            pending = len(starts) > 0
+            pending = bool(asked.any())
+            values = [Sums(number.hashes[ids], w).spans(starts, window) if len(starts) else np.zeros(0, _U) for w in (0, 1)]
             for column, value in zip(COLUMNS, (
                 len(words), gone, digest, kept.decode() if keep_text and not pending else None, b" ".join(words).decode() if pending else None,
-                np.flatnonzero(removed).astype(np.int32) if pending else None, starts.astype(np.int32), *values_of,
+                np.flatnonzero(np.diff(removed, prepend=False, append=False)).astype(np.int32) if pending else None,
+                np.where(asked, starts, -1).astype(np.int32), values[0].view(np.int64), (values[1] >> _U(32)).astype(np.uint32).view(np.int32),
             )):
                 out[column].append(value)
         arrays = [docs.column("place").combine_chunks(), docs.column("id").combine_chunks()]
@@ -182,8 +197,8 @@ def _locate(window: int, phrase: int, keep_text: bool):
 
 
 COLUMNS = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string(), "text": pa.string(), "gone": pa.list_(pa.int32()),
-           "starts": pa.list_(pa.int32()), "w1": pa.list_(pa.int64()), "w2": pa.list_(pa.int64())}
-SCHEMA = "n_words long, n_removed long, kept_sha256 string, kept string, text string, gone array<int>, starts array<int>, w1 array<long>, w2 array<long>"
+           "starts": pa.list_(pa.int32()), "w1": pa.list_(pa.int64()), "w2": pa.list_(pa.int32())}
+SCHEMA = "n_words long, n_removed long, kept_sha256 string, kept string, text string, gone array<int>, starts array<int>, w1 array<long>, w2 array<int>"
 
 
 def _finish(window: int, keep_text: bool):
@@ -193,8 +208,8 @@ def _finish(window: int, keep_text: bool):
             for text, gone, hits in zip(*(batch.column(c).to_pylist() for c in ("text", "gone", "hits"))):
                 words = text.encode().split(b" ")
                 first = np.array(hits or [], dtype=np.int64)
-                removed = _cover(len(words), first, first + window)
-                removed[np.array(gone, dtype=np.int64)] = True
+                edges = np.array(gone, dtype=np.int64)  # where removed stretches begin and end, in turn
+                removed = _cover(len(words), np.concatenate([first, edges[::2]]), np.concatenate([first + window, edges[1::2]]))
                 n, digest, kept = kept_words(words, removed)
                 found.append((len(words), n, digest, kept.decode() if keep_text else None))
             columns = [pa.array(c, k) for c, k in zip(zip(*found), (pa.int64(), pa.int64(), pa.string(), pa.string()))] if found else []
@@ -209,11 +224,12 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A word is removed when it lies in a window of ``window`` consecutive words whose sequence also starts anywhere else, in
     any document, judged on the input. Words are what ASCII white space separates.
 
-    Every window is led by its phrase with the least hash, so equal windows have equal leading phrases. Phrases that lead
-    twice or more are confirmed as recurring. Documents are hashed into shards; each shard compiles an Aho-Corasick
-    automaton of the recurring phrases in it, over word numbers, and streams its documents through it, which
-    locates every occurrence by full comparison. Where all occurrences of a phrase lead the same words, all windows there
-    recur. Elsewhere each window counts by a 128-bit hash of its words, and only such documents travel a second time.
+    Every window is led by its phrase with the least hash, so equal windows have equal leading phrases, and a document is
+    a row of blocks of windows with one phrase. Phrases that lead twice or more are confirmed as recurring. Documents are
+    hashed into shards; each shard compiles an Aho-Corasick automaton of the recurring phrases in it, over word numbers,
+    and streams its documents through it, which locates every occurrence by full comparison. Blocks that recur as a whole
+    are removed at once. Windows of the others count by a 96-bit hash of their words, against one of each kind of
+    block with the same phrase, and only their documents travel a second time.
 
     NULL texts and texts of fewer than ``window`` words keep all words. NULL ids and repeated rows are documents of their own,
     so a row that occurs twice is removed where it has windows. An empty table gives an empty result. The input must give
@@ -226,8 +242,11 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(shards)))
 
     leads = stored(over_batches(rows.select("text", "shard"), _phrases(window, phrase), "phrase long, body long, shard long"), "phrases")
-    recurring = leads.groupBy("phrase").agg(F.count("*").alias("n"), (F.min("body") == F.max("body")).alias("alike")).where("n > 1").select("phrase", "alike")
-    known = leads.select("phrase", "shard").join(recurring, "phrase").distinct()
+    again = leads.groupBy("phrase").agg(F.count("*").alias("n"), (F.min("body") == F.max("body")).alias("alike")).where("n > 1").select("phrase", "alike")
+    again = stored(leads.join(again, "phrase"), "recurring")
+    kinds = again.groupBy("phrase", "body").agg(F.count("*").alias("n"), F.min("shard").alias("speaker"), F.first("alike").alias("alike"))
+    known = again.select("phrase", "body", "shard").distinct().join(kinds, ["phrase", "body"]).select(
+        "shard", "phrase", "body", (F.col("n") > 1).alias("whole"), (~F.col("alike") & ((F.col("n") == 1) | (F.col("shard") == F.col("speaker")))).alias("speaks"))
 
     ship_code(docs.sparkSession)
     id_field = rows.schema["id"]
@@ -237,9 +256,9 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     done = found.where("text is null").select("id", "n_words", "n_removed", "kept_sha256", "kept")
     pending = found.where("text is not null")
-    spans = pending.select("place", F.explode(F.arrays_zip("starts", "w1", "w2")).alias("s")).select("place", "s.*")
-    again = spans.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    hits = spans.join(again, ["w1", "w2"]).groupBy("place").agg(F.collect_list("starts").alias("hits"))
+    spans = found.select("place", F.explode(F.arrays_zip("starts", "w1", "w2")).alias("s")).select("place", "s.*")
+    twice = spans.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
+    hits = spans.where("starts >= 0").join(twice, ["w1", "w2"]).groupBy("place").agg(F.collect_list("starts").alias("hits"))
     ended = pending.select("place", "id", "text", "gone").join(hits, "place", "left").select("id", "text", "gone", "hits")
     late = over_batches(ended, _finish(window, keep_text), T.StructType([id_field, *T.StructType.fromDDL("n_words long, n_removed long, kept_sha256 string, kept string").fields]))
     out = done.unionByName(late)
