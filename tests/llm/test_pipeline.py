@@ -43,7 +43,7 @@ def test_stages(spark, sf, tmp_path):
             assert set(now) <= set(seen) and len(rows) == len(now)
             if name == "toxicity":
                 lost = [i for i in seen if i not in now]
-                assert sum(labels.get(i) == 0 for i in lost) <= 2
+                assert sum(labels.get(i) == 0 for i in lost) <= 0.1 * sum(x == 0 for x in labels.values())  # few labels at this size
             if name == "exact dedup":
                 assert len({"".join((t or "").split()) for t in now.values()}) == len(now)
             if name == "secret scans":

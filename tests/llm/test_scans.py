@@ -38,8 +38,8 @@ def test_base_spans(spark, docs, texts):
 
 def test_guessed_values_are_added(docs, clashing, empty):
     found = {r.doc_id: r for r in scan_secrets(clashing, keep_rows=True).collect()}
-    assert found[400].spans == "assign:0:50,hex:9:49,guess:61:73,access:78:100" and found[400].n_guess == 1
-    assert found[400].masked == "[assign] then pwd: [guess] and [access]"
+    assert found[400].spans == "assign:0:49,hex:9:49,guess:61:73,access:78:100" and found[400].n_guess == 1
+    assert found[400].masked == "[assign]\" then pwd: [guess] and [access]"
     assert found[1].spans == "" and found[1].masked == "" and found[1].max_log10_guesses is None
     assert scan_secrets(empty).count() == 0
 
