@@ -137,22 +137,27 @@ def pointwise_log_lik(obs: DataFrame, theta_draws: DataFrame, item_draws: DataFr
     chunk = each.groupBy(*keys, "chunk").agg(
         F.count("*").alias("_n"), F.first("_top").alias("_top"),
         F.sum(F.exp(F.col("_ll") - F.col("_top"))).alias("_scaled"),
-        F.sum("_ll").alias("_s1"), F.sum(F.col("_ll") * F.col("_ll")).alias("_s2"),
+        F.avg("_ll").alias("_mean"), (F.var_pop("_ll") * F.count("*")).alias("_m2"),
     )
     per = chunk.groupBy(*keys).agg(
         F.sum("_n").alias("n_draws"), F.max("_top").alias("_m"),
-        F.collect_list(F.struct("_top", "_scaled")).alias("_parts"),
-        F.sum("_s1").alias("_s1"), F.sum("_s2").alias("_s2"),
+        F.collect_list(F.struct("_top", "_scaled", "_n", "_mean", "_m2")).alias("_parts"),
+        (F.sum(F.col("_n") * F.col("_mean")) / F.sum("_n")).alias("_mean"),
     )
     total = F.aggregate(
         F.transform("_parts", lambda p: p["_scaled"] * F.exp(p["_top"] - F.col("_m"))), F.lit(0.0),
         lambda acc, v: acc + v,
     )
-    var = F.try_divide(F.col("_s2") - F.col("_s1") * F.col("_s1") / F.col("n_draws"), F.col("n_draws") - 1)
+    # squares about each chunk's mean, moved to the common mean: nothing large cancels
+    squares = F.aggregate(
+        F.transform("_parts", lambda p: p["_m2"] + p["_n"] * (p["_mean"] - F.col("_mean")) * (p["_mean"] - F.col("_mean"))),
+        F.lit(0.0), lambda acc, x: acc + x,
+    )
+    var = F.try_divide(squares, F.col("n_draws") - 1)
     return per.select(
         *keys, "n_draws",
         (F.col("_m") + F.log(total / F.col("n_draws"))).alias("lppd"),
-        F.greatest(var, F.lit(0.0)).alias("p_waic"),
+        var.alias("p_waic"),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from scoretide.operators.spread import group_positions
 
-# A wide table's column names live on the driver; more items than this is refused.
+# A wide table's column names live on the driver; more items or periods than this are refused.
 MAX_WIDE_COLUMNS = 10_000
 MAX_PERIODS = 10_000
 
@@ -35,13 +35,13 @@ def item_label(df: DataFrame) -> DataFrame:
     return df.withColumn("item_col", F.concat_ws("_", "indicator", F.col("period").cast("string")))
 
 
-def to_wide(obs: DataFrame, key: str = "name") -> DataFrame:
+def to_wide(obs: DataFrame, key: str = "name", most: int = MAX_WIDE_COLUMNS) -> DataFrame:
     """One row per key and one column per item; only for panels with few items."""
     labelled = item_label(obs)
     found = labelled.select("period", "indicator", "item_col").distinct().orderBy("period", "indicator")
-    names = [r["item_col"] for r in found.limit(MAX_WIDE_COLUMNS + 1).collect()]
-    if len(names) > MAX_WIDE_COLUMNS:
-        raise ValueError(f"more than {MAX_WIDE_COLUMNS} items: keep the panel long")
+    names = [r["item_col"] for r in found.limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} items: keep the panel long")
     return labelled.groupBy(key).pivot("item_col", names).agg(F.max("y"))
 
 
@@ -57,15 +57,15 @@ def from_wide(wide: DataFrame, key: str = "name") -> DataFrame:
     )
 
 
-def complete_panel(df: DataFrame, key: str = "name", period: str = "period") -> DataFrame:
+def complete_panel(df: DataFrame, key: str = "name", period: str = "period", most: int = MAX_PERIODS) -> DataFrame:
     """Every key in every period; the periods a key lacks get NULL in all other columns.
 
     The periods are few and go into the plan as one array, so keys are
     expanded row by row and no product of two tables is formed.
     """
-    rows = df.select(period).distinct().limit(MAX_PERIODS + 1).collect()
+    rows = df.select(period).distinct().limit(most + 1).collect()
     periods = sorted(r[0] for r in rows)
-    if len(periods) > MAX_PERIODS:
+    if len(periods) > most:
         raise ValueError("too many periods to complete the panel")
     frame = df.select(key).distinct().withColumn(period, F.explode(F.array(*[F.lit(p) for p in periods])))
     return frame.join(df, [key, period], "left").select(*df.columns)
@@ -148,17 +148,21 @@ def index_observations(obs: DataFrame, ep_table: DataFrame, items: DataFrame, ke
     return obs.join(ep_table, [key, "period"], "left").join(items, ["indicator", "period"], "left")
 
 
-def panel_dims(obs: DataFrame, n_pinned: int = 2, key: str = "name") -> DataFrame:
-    """One row of sizes. Everything but the item count comes from one pass over the
-    entity-periods, which partial aggregation has already made small."""
+def panel_dims(obs: DataFrame, anchors: tuple[str, ...] = (), key: str = "name") -> DataFrame:
+    """One row of sizes. The first start of every anchor that is there is pinned, all other starts are free.
+
+    Everything but the item count comes from one pass over the entity-periods, which partial aggregation has already
+    made small.
+    """
     per = obs.groupBy(key, "period").agg(F.count("*").alias("n"))
     flagged = with_previous(per, key)
     n = lambda cond: F.count_if(cond)
+    pinned = F.col("prev_period").isNull() & F.col(key).isin(*anchors) if anchors else F.lit(False)
     sizes = flagged.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_obs"),
         F.count("*").alias("n_entity_periods"),
         n(F.col("prev_period").isNull()).alias("n_entities"),
-        (n(F.col("is_fresh")) - n_pinned).alias("n_free_starts"),
+        n(F.col("is_fresh") & ~pinned).alias("n_free_starts"),
         n(~F.col("is_fresh")).alias("n_transitions"),
         F.lit(0).cast("long").alias("n_items"),
     )

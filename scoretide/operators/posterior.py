@@ -32,7 +32,7 @@ def posterior_summary(
         out = draws.groupBy(*keys).agg(F.percentile(value, PROBS).alias("_q"), *moments)
     else:
         quantiles = grouped_quantiles(draws, keys, value, PROBS, "_q", hot=True)
-        out = join_null_safe(draws.groupBy(*keys).agg(*moments), quantiles, keys)
+        out = join_null_safe(draws.groupBy(*keys).agg(*moments), quantiles, keys, "left")
     named = [F.col("_q")[i].alias(n) for i, n in enumerate(QUANTILE_NAMES)]
     return out.select(*keys, "mean", "sd", "min", *named, "max")
 
@@ -80,17 +80,16 @@ def beta_sign_crosstab(params: DataFrame) -> DataFrame:
 
 
 def anchor_check(score_rows: DataFrame, negative: str, positive: str) -> DataFrame:
-    """Per anchor: periods, those with the wanted sign, and whether all have it."""
+    """Per anchor, also one that is not there: whether it was found, its periods, how many are negative, and whether all have the wanted sign."""
     is_neg = F.col("ticker") == negative
     right_sign = F.when(is_neg, F.col("mean") < 0).otherwise(F.col("mean") > 0)
-    return (
-        score_rows.filter(F.col("ticker").isin(negative, positive))
-        .groupBy("ticker")
-        .agg(
-            F.count("*").alias("n_periods"),
-            F.count_if(F.col("mean") < 0).alias("n_negative"),
-            F.bool_and(right_sign).alias("sign_ok"),
-        )
+    anchors = score_rows.sparkSession.createDataFrame([(a,) for a in sorted({negative, positive})], "ticker string")
+    mine = score_rows.filter(F.col("ticker").isin(negative, positive)).select("ticker", "mean")
+    return anchors.join(mine, "ticker", "left").groupBy("ticker").agg(
+        (F.count("mean") > 0).alias("found"),
+        F.count("mean").alias("n_periods"),
+        F.count_if(F.col("mean") < 0).alias("n_negative"),
+        F.coalesce(F.bool_and(F.when(F.col("mean").isNotNull(), right_sign)), F.lit(False)).alias("sign_ok"),
     )
 
 

@@ -20,7 +20,6 @@ from scoretide.operators.spread import HOT_ROWS, group_positions, group_sizes, j
 from scoretide.session import Parts, materialise
 
 SUFFIX = r"\.([0-9]+)$"
-MAX_PERIODS = 1_000
 
 
 def resolve_first_keeps(df: DataFrame) -> DataFrame:
@@ -199,7 +198,7 @@ def resolve_keys(df: DataFrame) -> Resolution:
     found = slim.groupBy("period").agg(
         F.count_if(F.col("issuerid").isNotNull() & (F.col("issuerid") != "")).alias("n_ids")
     )
-    periods = sorted((r["period"], r["n_ids"]) for r in found.limit(MAX_PERIODS).collect() if r["period"] is not None)
+    periods = sorted((r["period"], r["n_ids"]) for r in found.collect() if r["period"] is not None)
     log, done = Parts(df.sparkSession, "resolve-log"), Parts(df.sparkSession, "resolve-done")
     columns = ["row_ord", "name", "issuerid", "key"]
     for period, n_ids in periods:

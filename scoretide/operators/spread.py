@@ -150,7 +150,8 @@ def _spread_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[fl
         h = (F.col("_n") - 1) * F.lit(float(p))
         aggs += [at_rank(F.floor(h)).alias(f"_lo{i}"), at_rank(F.ceil(h)).alias(f"_hi{i}")]
         share = h - F.floor(h)
-        quantiles.append(F.col(f"_lo{i}") + share * (F.col(f"_hi{i}") - F.col(f"_lo{i}")))
+        between = (1 - share) * F.col(f"_lo{i}") + share * F.col(f"_hi{i}")  # as percentile does
+        quantiles.append(F.when(share == 0, F.col(f"_lo{i}")).otherwise(between))
     return ranked.groupBy(*keys).agg(*aggs).select(*keys, F.array(*quantiles).alias(out))
 
 

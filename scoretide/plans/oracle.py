@@ -38,7 +38,7 @@ EP = """, ep as (select distinct name, period from obs), lagged as (select name,
 ANCHORS = """, anchors as (select min(name) as low, max(name) as high from (
  select name from ep group by name having count(*) = (select count(distinct period) from ep)) q)"""
 
-LINES = "lines as (select * from lineitem where l_linenumber <= 4)"
+LINES = "lines as (select * from lineitem)"
 DRAWS = LINES + f""", draws as (select l_suppkey as idx, l_linenumber as chain, l_extendedprice as value,
  row_number() over (partition by l_suppkey, l_linenumber order by {', '.join(DRAW_ORDER)}) as iteration from lines)"""
 EP_TABLE = """ep_table as (select concat('N', cast(s_nationkey as varchar)) as ticker, s_suppkey as ep_idx,
@@ -186,8 +186,7 @@ ESS = SIZED + """, ends as (select idx, quantile_cont(value, 0.05) as lo, quanti
 , ess as (select idx, min(case when series = 'z' then ess end) as ess_bulk, min(case when series <> 'z' then ess end) as ess_tail
  from sizes_eff group by idx)"""
 # the ESS text continues from the same split, so both can be chained
-CONV = RHAT + ESS[len(SIZED):] + """, conv as (select r.idx, round(r.rhat, 4) as rhat, round(e.ess_bulk, 4) as ess_bulk,
- round(e.ess_tail, 4) as ess_tail from rhats r join ess e on r.idx = e.idx)"""
+CONV = RHAT + ESS[len(SIZED):] + """, conv as (select r.idx, r.rhat, e.ess_bulk, e.ess_tail from rhats r join ess e on r.idx = e.idx)"""
 
 TRAJ = f"""{LINES}, {EP_TABLE}, per as (select ticker, period_idx, l_linenumber as chain, avg(l_extendedprice) as m
  from lines join ep_table on l_suppkey = ep_idx group by 1, 2, 3)"""
@@ -208,8 +207,8 @@ FIRST_KEEPS = PANEL + """, pairs as (select ticker, name, min(period) as p, min_
  from panel_raw where ticker is not null group by ticker, name)
 , ranked as (select ticker, name, row_number() over (partition by ticker order by p, o) as k from pairs)"""
 SPACED = """spaced as (select param, idx from (select param, cast(round_even(1 + j * (n - 1) / 49.0, 0) as bigint) as idx from (
- select 'alpha' as param, max(l_partkey) as n from lineitem where l_linenumber <= 4 union all
- select 'beta', max(l_partkey) from lineitem where l_linenumber <= 4) q, (select unnest(range(50)) as j) g) s group by param, idx)"""
+ select 'alpha' as param, max(l_partkey) as n from lineitem union all
+ select 'beta', max(l_partkey) from lineitem) q, (select unnest(range(50)) as j) g) s group by param, idx)"""
 
 
 def w(ctes: str, select: str) -> str:
@@ -219,18 +218,17 @@ def w(ctes: str, select: str) -> str:
 def oracle() -> dict[str, str]:
     wide = "select name, " + ", ".join(
         f"max(case when indicator = '{i}' and period = {p} then y end) as {i}_{p}"
-        for p in range(1995, 2002) for i in ("sta_str_a", "val_con_a") if not (i == "val_con_a" and p < 1997)
-    ) + " from obs where indicator in ('sta_str_a', 'val_con_a') group by name"
+        for p in range(1995, 2002) for i in INDICATORS if not (i == "val_con_a" and p < 1997)
+    ) + " from obs group by name"
     clamp = ", ".join(f"case when {i} >= 2 then 1 else {i} end as {i}" for i in INDICATORS)
     stat = lambda e: f"round({e}, 6)"
     return {
         "clean_panel": w(PANEL, f"select name, ticker, issuerid, period, row_ord, {clamp} from panel_raw"),
         "validate_binary": w(RAW_OBS, """select indicator, period, count(*) as n_bad, min(y) as min_y, max(y) as max_y
             from raw_obs where y not in (0, 1) group by indicator, period"""),
-        "restrict_universe": w(PANEL, """, cut as (select case when row_ord % 11 <> 0 then ticker end as ticker, period, row_ord
-            from panel_raw where period >= 1997 or row_ord % 3 = 0)
-            select period, count(*) as n_rows, count(ticker) as n_keyed, cast(sum(row_ord) as bigint) as sum_ord from cut c
-            where exists (select 1 from cut s where s.period <= 1996 and s.ticker is not distinct from c.ticker) group by period"""),
+        "restrict_universe": w(PANEL, """, keyed as (select case when row_ord % 11 <> 0 then ticker end as ticker, period, name, row_ord from panel_raw)
+            select name, ticker, period, row_ord from keyed c
+            where exists (select 1 from keyed s where s.period <= 1995 and s.ticker is not distinct from c.ticker)"""),
         "apply_overrides": w(PANEL, """select name, period, case
             when name in ('Customer#000000013', 'Customer#000000007') then 'R1'
             when ticker = 'T5' then 'T5X' else ticker end as ticker from panel_raw"""),
@@ -250,8 +248,8 @@ def oracle() -> dict[str, str]:
         "subset_periods": w(OBS, "select name, period, indicator, y from obs where period between 1996 and 1998"),
         "to_wide": w(OBS, wide),
         "wide_round_trip": w(OBS, "select name, period, indicator, y from obs"),
-        "complete_panel": w(PANEL, """select n.name, y.period, coalesce(p.sta_str_a, -1) as sta_str_a,
-            coalesce(case when p.val_con_a >= 2 then 1 else p.val_con_a end, -1) as val_con_a
+        "complete_panel": w(PANEL, "select n.name, y.period, " + ", ".join(
+            f"coalesce(case when p.{i} >= 2 then 1 else p.{i} end, -1) as {i}" for i in INDICATORS) + """
             from (select distinct name from panel_raw) n cross join (select distinct period from panel_raw) y
             left join panel_raw p on p.name = n.name and p.period = y.period"""),
         "item_index": w(OBS, """select item_col, period, row_number() over (order by period, item_col) as item_idx from (
@@ -262,11 +260,11 @@ def oracle() -> dict[str, str]:
              dense_rank() over (order by name) as entity_idx from (select distinct name, period from obs) q)
             , it as (select indicator, period, row_number() over (order by period, concat(indicator, '_', cast(period as varchar))) as item_idx
              from (select distinct indicator, period from obs) q)
-            select item_idx, count(*) as n, cast(sum(ep_idx) as bigint) as sum_ep, cast(sum(entity_idx) as bigint) as sum_entity
+            select o.name, o.period, o.indicator, y, ep_idx, entity_idx, item_idx
             from obs o join ep on o.name = ep.name and o.period = ep.period
-            join it on o.indicator = it.indicator and o.period = it.period group by item_idx"""),
-        "period_index": w(PANEL, """select cast(period - (select min(period) - 1 from panel_raw) as int) as period_idx,
-            period as year, count(*) as n from panel_raw group by 1, 2"""),
+            join it on o.indicator = it.indicator and o.period = it.period"""),
+        "period_index": w(PANEL, """select name, cast(period - (select min(period) - 1 from panel_raw) as int) as period_idx,
+            period as year from panel_raw"""),
         "transitions": w(OBS + EP, "select name, prev_period, period from lagged where period = prev_period + 1"),
         "fresh_starts": w(OBS + EP, "select name, period from lagged where prev_period is null or period > prev_period + 1"),
         "classify_starts": w(OBS + EP + ANCHORS, """select name, period,
@@ -285,10 +283,11 @@ def oracle() -> dict[str, str]:
                     + ", ".join(f"round({n}, 6) as {n}" for _, n in QUANTILES) + ", round(mx, 6) as max from scores"),
         "item_params": w(ITEM_PARAMS, "select * from params"),
         "beta_sign_crosstab": w(ITEM_PARAMS, """select contains(item_col, '_con_') as is_concern, beta_mean < 0 as beta_neg, count(*) as n
-            from params where beta_mean is not null group by 1, 2"""),
-        "anchor_check": w(CENTRED, """select ticker, count(*) as n_periods, count(*) filter (where mean < 0) as n_negative,
-            bool_and(case when ticker = 'N3' then mean < 0 else mean > 0 end) as sign_ok
-            from centred where ticker in ('N3', 'N7') group by ticker"""),
+            from params group by 1, 2"""),
+        "anchor_check": w(CENTRED, """select a.ticker, count(mean) > 0 as found, count(mean) as n_periods,
+            count(*) filter (where mean < 0) as n_negative,
+            coalesce(bool_and(case when a.ticker = 'N3' then mean < 0 else mean > 0 end), false) as sign_ok
+            from (values ('N3'), ('N7')) a(ticker) left join centred c on a.ticker = c.ticker group by a.ticker"""),
         "persistent_sign": w(CENTRED, """select ticker, count(*) as n_periods, round(avg(mean), 6) as mean, round(max(mean), 6) as max_mean
             from centred group by ticker having count(*) >= 2 and max(mean) < 0"""),
         "score_trend": w(CENTRED, """select year, count(*) as n, round(avg(mean), 6) as mean_score,
@@ -309,28 +308,30 @@ def oracle() -> dict[str, str]:
         "rhat": w(RHAT, """select 'theta' as param, idx, round(rhat_bulk, 6) as rhat_bulk, round(rhat_fold, 6) as rhat_fold,
             round(rhat, 6) as rhat from rhats"""),
         "ess": w(ESS, "select 'theta' as param, idx, round(ess_bulk, 4) as ess_bulk, round(ess_tail, 4) as ess_tail from ess"),
-        "convergence_rollup": w(CONV, """select 'theta' as param, count(*) as n_params, min(rhat) as min_rhat, max(rhat) as max_rhat,
-            min(ess_bulk) as min_ess_bulk, max(ess_bulk) as max_ess_bulk, min(ess_tail) as min_ess_tail, max(ess_tail) as max_ess_tail,
+        "convergence_rollup": w(CONV, """select 'theta' as param, count(*) as n_params, round(min(rhat), 4) as min_rhat, round(max(rhat), 4) as max_rhat, round(min(ess_bulk), 4) as min_ess_bulk,
+            round(max(ess_bulk), 4) as max_ess_bulk, round(min(ess_tail), 4) as min_ess_tail, round(max(ess_tail), 4) as max_ess_tail,
             count(*) filter (where rhat > 1.01) as n_bad_rhat, count(*) filter (where ess_bulk < 400) as n_low_bulk,
             count(*) filter (where ess_tail < 400) as n_low_tail from conv"""),
-        "offenders": w(RHAT, "select 'theta' as param, idx, round(rhat, 4) as rhat from rhats where round(rhat, 4) > 1.01"),
+        "offenders": w(RHAT, "select 'theta' as param, idx, round(rhat, 4) as rhat from rhats where rhat > 1.01"),
         "health_report": w(CONV + SAMPLER[len(LINES):], """select c.*, d.*,
             round(100.0 * n_bad_rhat / n_checked, 4) as pct_bad_rhat, round(100.0 * n_low_bulk / n_checked, 4) as pct_low_bulk,
             round(100.0 * n_low_tail / n_checked, 4) as pct_low_tail,
             n_bad_rhat = 0 and n_divergent = 0 and n_low_ebfmi = 0 as healthy from (
             select count(*) as n_checked, count(*) filter (where rhat > 1.01) as n_bad_rhat,
              count(*) filter (where ess_bulk < 400) as n_low_bulk, count(*) filter (where ess_tail < 400) as n_low_tail,
-             min(rhat) as min_rhat, max(rhat) as max_rhat, min(ess_bulk) as min_ess_bulk, min(ess_tail) as min_ess_tail from conv) c, (
+             round(min(rhat), 4) as min_rhat, round(max(rhat), 4) as max_rhat, round(min(ess_bulk), 4) as min_ess_bulk,
+             round(min(ess_tail), 4) as min_ess_tail from conv) c, (
             select cast(sum(n_divergent) as bigint) as n_divergent, cast(sum(n_max_treedepth) as bigint) as n_max_treedepth,
              round(min(ebfmi), 4) as min_ebfmi, count(*) filter (where ebfmi <= 0.3) as n_low_ebfmi from diagnostics) d"""),
-        "key_convergence": w(RHAT + ", " + EP_TABLE, """select e.ticker, e.period_idx, round(avg(d.value), 6) as mean,
+        "key_convergence": w(CONV + ", " + EP_TABLE, """select e.ticker, e.period_idx, round(avg(d.value), 6) as mean,
             round(stddev_samp(d.value), 6) as sd, round(quantile_cont(d.value, 0.05), 6) as pct05,
-            round(quantile_cont(d.value, 0.95), 6) as pct95, round(max(r.rhat), 6) as rhat
-            from draws d join ep_table e on d.idx = e.ep_idx join rhats r on d.idx = r.idx
+            round(quantile_cont(d.value, 0.95), 6) as pct95, round(max(r.rhat), 6) as rhat,
+            round(max(r.ess_bulk), 4) as ess_bulk
+            from draws d join ep_table e on d.idx = e.ep_idx join conv r on d.idx = r.idx
             where e.ticker in ('N3', 'N7') group by e.ticker, e.period_idx"""),
         "spaced_sample": w(SPACED, "select param, idx from spaced"),
-        "spaced_draws": w(SPACED, """, two as (select 'alpha' as param, l_partkey as idx, l_quantity / 10 - 2.5 as value from lineitem where l_linenumber <= 4
-             union all select 'beta', l_partkey, 20 * l_discount - 1 from lineitem where l_linenumber <= 4)
+        "spaced_draws": w(SPACED, """, two as (select 'alpha' as param, l_partkey as idx, l_quantity / 10 - 2.5 as value from lineitem
+             union all select 'beta', l_partkey, 20 * l_discount - 1 from lineitem)
             select b.param, b.idx, count(*) as n, round(avg(value), 6) as mean
             from two b join spaced s on b.param = s.param and b.idx = s.idx group by b.param, b.idx"""),
         "trajectory": w(TRAJ, "select ticker, period_idx, round(avg(m), 6) as theta from per group by ticker, period_idx"),
@@ -400,12 +401,14 @@ def oracle() -> dict[str, str]:
                               + ") q(param, idx) where exists (select 1 from numbered) group by param"),
         "sampler_table": w(CHAIN_TEXT, """select chain, iteration, divergent__ as divergent, treedepth__ as treedepth,
             energy__ as energy from numbered"""),
-        "file_sizes": "select count(distinct l_linenumber) as n_files, true as has_bytes from lineitem where l_linenumber <= 4",
+        "file_sizes": "select count(distinct l_linenumber) as n_files, true as has_bytes from lineitem",
         "read_panel": w(PANEL, """select name, coalesce(case when ticker = 'T5' then null else ticker end, '-') as ticker,
             coalesce(issuerid, '-') as issuerid, period, row_number() over (order by row_ord) as row_ord, pri_str_a as "PRI_str_a",
+            pri_str_b as "PRI_str_b", pri_con_a as "PRI_con_a", sta_str_a as "STA_str_a", sta_con_a as "STA_con_a",
             case when val_str_a >= 2 then 1 else val_str_a end as "VAL_str_a",
             coalesce(case when val_con_a >= 2 then 1 else val_con_a end, -1) as "VAL_con_a" from panel_raw"""),
         "table_hand_off": w(OBS, """select period, indicator, count(*) as n_obs, cast(sum(y) as bigint) as n_ones
             from obs group by period, indicator"""),
-        "write_scores": w(SCORES, "select ticker, year, round(mean, 4) as mean from scores"),
+        "write_scores": w(SCORES, "select name, ticker, cast(year as int) as year, round(mean, 4) as mean, round(sd, 4) as sd, round(mn, 4) as min, "
+                    + ", ".join(f"round({n}, 4) as {n}" for _, n in QUANTILES) + ", round(mx, 4) as max from scores"),
     }

@@ -52,10 +52,7 @@ def validate_binary(spark, sf):
 @query
 def restrict_universe(spark, sf):
     p = v.panel_raw(spark, sf).withColumn("ticker", F.when(F.col("row_ord") % 11 != 0, F.col("ticker")))
-    late = p.filter((F.col("period") >= 1997) | (F.col("row_ord") % 3 == 0))
-    return clean.restrict_universe(late, 1996).groupBy("period").agg(
-        F.count("*").alias("n_rows"), F.count("ticker").alias("n_keyed"), F.sum("row_ord").alias("sum_ord")
-    )
+    return clean.restrict_universe(p, 1995).select("name", "ticker", "period", "row_ord")
 
 
 OVERRIDES = [
@@ -131,8 +128,7 @@ def subset_periods(spark, sf):
 
 @query
 def to_wide(spark, sf):
-    wide = panel.to_wide(v.obs(spark, sf).filter(F.col("indicator").isin("sta_str_a", "val_con_a")))
-    return wide
+    return panel.to_wide(v.obs(spark, sf))
 
 
 @query
@@ -142,9 +138,8 @@ def wide_round_trip(spark, sf):
 
 @query
 def complete_panel(spark, sf):
-    p = v.panel_clean(spark, sf).select("name", "period", "sta_str_a", "val_con_a")
-    done = panel.complete_panel(p)
-    return done.select("name", "period", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("sta_str_a", "val_con_a")])
+    done = panel.complete_panel(v.panel_clean(spark, sf).select("name", "period", *v.INDICATORS))
+    return done.select("name", "period", *[F.coalesce(c, F.lit(-1)).alias(c) for c in v.INDICATORS])
 
 
 @query
@@ -163,9 +158,7 @@ def index_observations(spark, sf):
     o = v.obs(spark, sf)
     ep = materialise(panel.entity_period_table(panel.entity_periods(o)), "ep")
     out = panel.index_observations(o, ep, panel.item_table(o))
-    return out.groupBy("item_idx").agg(
-        F.count("*").alias("n"), F.sum("ep_idx").alias("sum_ep"), F.sum("entity_idx").alias("sum_entity")
-    )
+    return out.select("name", "period", "indicator", "y", "ep_idx", "entity_idx", "item_idx")
 
 
 @query
@@ -173,7 +166,7 @@ def period_index(spark, sf):
     p = v.panel_raw(spark, sf)
     base = panel.period_base(p)
     out = panel.to_calendar(panel.with_period_index(p, base), base)
-    return out.groupBy("period_idx", "year").agg(F.count("*").alias("n"))
+    return out.select("name", "period_idx", "year")
 
 
 @query
@@ -196,7 +189,8 @@ def classify_starts(spark, sf):
 
 @query
 def panel_dims(spark, sf):
-    return panel.panel_dims(v.obs(spark, sf))
+    o = v.obs(spark, sf)
+    return panel.panel_dims(o, v.anchors(o))
 
 
 @query
@@ -225,7 +219,7 @@ def item_params(spark, sf):
 @query
 def beta_sign_crosstab(spark, sf):
     params = posterior.item_params(v.item_draws(spark, sf), v.item_table(spark, sf), v.EP_BASE)
-    return posterior.beta_sign_crosstab(rounded(params).filter(F.col("beta_mean").isNotNull()))
+    return posterior.beta_sign_crosstab(rounded(params))
 
 
 def _centred_scores(spark, sf):
@@ -308,16 +302,16 @@ def sampler_diagnostics(spark, sf):
 
 @query
 def rhat(spark, sf):
-    return rounded(conv.rhat(v.draws(spark, sf)))
+    return rounded(conv.rhat(v.draws(spark, sf), ragged="cut"))
 
 
 @query
 def ess(spark, sf):
-    return rounded(conv.ess(v.draws(spark, sf)), 4)
+    return rounded(conv.ess(v.draws(spark, sf), ragged="cut"), 4)
 
 
 def _conv(spark, sf):
-    return rounded(materialise(conv.convergence(v.draws(spark, sf)), "convergence"), 4)
+    return materialise(conv.convergence(v.draws(spark, sf), ragged="cut"), "convergence")
 
 
 @query
@@ -327,8 +321,8 @@ def convergence_rollup(spark, sf):
 
 @query
 def offenders(spark, sf):
-    r = rounded(conv.rhat(v.draws(spark, sf)), 4)
-    return conv.offenders(r).select("param", "idx", "rhat")
+    r = conv.rhat(v.draws(spark, sf), ragged="cut")
+    return rounded(conv.offenders(r).select("param", "idx", "rhat"), 4)
 
 
 @query
@@ -338,8 +332,8 @@ def health_report(spark, sf):
 
 @query
 def key_convergence(spark, sf):
-    out = conv.key_convergence(v.draws(spark, sf), v.ep_table(spark, sf), ["N3", "N7"])
-    return rounded(out.select("ticker", "period_idx", "mean", "sd", "pct05", "pct95", "rhat"))
+    out = conv.key_convergence(v.draws(spark, sf), v.ep_table(spark, sf), ["N3", "N7"], ragged="cut")
+    return rounded(out.withColumn("ess_bulk", F.round("ess_bulk", 4)))
 
 
 @query
@@ -396,7 +390,7 @@ def chain_key_stats(spark, sf):
 
 def _scales(spark, sf):
     """Two scalar parameters per chain from taxes and discounts."""
-    lines = v.table(spark, sf, "lineitem").filter(F.col("l_linenumber") <= v.N_CHAINS)
+    lines = v.table(spark, sf, "lineitem")
     both = F.explode(F.array(
         F.struct(F.lit("sigma_init").alias("param"), F.col("l_tax").alias("value")),
         F.struct(F.lit("sigma_global").alias("param"), F.col("l_discount").alias("value")),
@@ -473,7 +467,7 @@ def rebuild_paths(spark, sf):
 
 @query
 def firm_scales(spark, sf):
-    lines = v.table(spark, sf, "lineitem").filter(F.col("l_linenumber") <= v.N_CHAINS)
+    lines = v.table(spark, sf, "lineitem")
     global_scale = lines.groupBy(F.col("l_linenumber").alias("chain"), F.year("l_shipdate").alias("iteration")).agg(
         F.avg("l_discount").alias("sigma_global")
     )
@@ -527,21 +521,21 @@ def _panel_and_anchors(spark, sf):
 def fit_em(spark, sf):
     got = fit.fit_em(*_panel_and_anchors(spark, sf), max_rounds=8)
     got.data.close()
-    return got.scores()
+    return rounded(got.scores()).withColumn("converged", F.lit(got.converged))
 
 
 @query
 def fit_em_items(spark, sf):
     got = fit.fit_em(*_panel_and_anchors(spark, sf), max_rounds=4)
     got.data.close()
-    return got.item_params()
+    return rounded(got.item_params()).withColumn("converged", F.lit(got.converged))
 
 
 @query
 def fit_em_static(spark, sf):
     got = fit.fit_em(*_panel_and_anchors(spark, sf), max_rounds=4, dynamic=False)
     got.data.close()
-    return got.scores()
+    return rounded(got.scores()).withColumn("converged", F.lit(got.converged))
 
 
 @query
@@ -571,7 +565,7 @@ def _chain_lines(spark, sf):
 
     A draw is a ship day of one line number; the columns are a fixed, small set.
     """
-    lines = v.table(spark, sf, "lineitem").filter(F.col("l_linenumber") <= v.N_CHAINS)
+    lines = v.table(spark, sf, "lineitem")
     qty = lambda flag: F.sum(F.when(F.col("l_returnflag") == flag, F.col("l_quantity")).otherwise(0.0))
     per = lines.groupBy(F.col("l_linenumber").alias("chain"), F.to_date("l_shipdate").alias("day")).agg(
         F.count("*").cast("double").alias("lp__"),
@@ -634,7 +628,7 @@ def read_panel(spark, sf):
         F.lit("x").alias("CUSIP"), F.col("name").alias("CompanyName"),
         F.when(F.col("ticker") == "T5", "R").when(F.col("ticker").isNull(), "NA").otherwise(F.col("ticker")).alias("Ticker"),
         F.col("issuerid"), F.col("period").alias("year"), "pri_str_num",
-        word("pri_str_a").alias("PRI_str_a"), F.col("val_str_a").cast("double").alias("VAL_str_a"),
+        *[word(c).alias(c[:3].upper() + c[3:]) for c in v.INDICATORS[:5]], F.col("val_str_a").cast("double").alias("VAL_str_a"),
         F.col("val_con_a").alias("VAL_con_a"),
     )
     path = fresh_path(spark, "panel-csv")
@@ -653,7 +647,7 @@ def write_scores(spark, sf):
     path = fresh_path(spark, "scores-csv")
     tables.write_scores(rounded(s, 4), path)
     back = spark.read.csv(path, header=True)
-    return back.select("ticker", F.col("year").cast("int").alias("year"), F.col("mean").cast("double").alias("mean"))
+    return back.select("name", "ticker", F.col("year").cast("int").alias("year"), *[F.col(c).cast("double").alias(c) for c in s.columns[3:]])
 
 
 @query

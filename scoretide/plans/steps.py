@@ -10,8 +10,6 @@ from scoretide.operators import clean, convergence, panel, posterior, resolve
 from scoretide.session import materialise
 from scoretide.sources import chains as chain_files
 
-SPOT_CHECK = {"alpha": 50, "beta": 50, "theta": 200, "sigma_firm": 50}
-SCALARS = ["sigma_global", "sigma_init"]
 
 
 def clean_step(raw: DataFrame, indicators: list[str], cutoff: int | None = None,
@@ -78,14 +76,23 @@ def extract_step(draws: DataFrame, index: dict[str, DataFrame], meta: DataFrame,
     }
 
 
-def diagnose_step(draws: DataFrame, ep_table: DataFrame, anchors: tuple[str, str]) -> dict[str, DataFrame]:
-    """Sampler checks, a spot check of R-hat and ESS per parameter class, anchors (negative, positive), scales, verdict."""
+def diagnose_step(draws: DataFrame, ep_table: DataFrame, anchors: tuple[str, str], sample: dict[str, int] | None = None,
+                  ragged: str = "error") -> dict[str, DataFrame]:
+    """Sampler checks, R-hat and ESS, anchors (negative, positive), scales, verdict.
+
+    All parameters are checked, unless ``sample`` names how many evenly spaced ones of a parameter are enough; the verdict
+    says how many there are beside how many were checked.
+    """
     sampler = convergence.sampler_diagnostics(chain_files.sampler_table(draws))
-    picked = draws.filter(F.col("param").isin(SCALARS))
-    for param, k in SPOT_CHECK.items():
-        picked = picked.unionByName(convergence.spaced_draws(draws.filter(F.col("param") == param), k))
-    conv = materialise(convergence.convergence(materialise(picked, "spot-check")), "convergence")
-    tracked = materialise(convergence.key_convergence(draws, ep_table, list(anchors)), "anchor-paths")
+    checked = draws.filter(~F.col("param").isin(*chain_files.SAMPLER_FIELDS, "lp__"))
+    n_parameters = checked.select("param", "idx").distinct().count()
+    if sample:
+        picked = checked.filter(~F.col("param").isin(*sample))
+        for param, k in sample.items():
+            picked = picked.unionByName(convergence.spaced_draws(checked.filter(F.col("param") == param), k))
+        checked = materialise(picked, "sampled")
+    conv = materialise(convergence.convergence(checked, ragged=ragged), "convergence")
+    tracked = materialise(convergence.key_convergence(draws, ep_table, list(anchors), ragged=ragged), "anchor-paths")
     return {
         "sampler": sampler,
         "convergence": conv,
@@ -94,5 +101,5 @@ def diagnose_step(draws: DataFrame, ep_table: DataFrame, anchors: tuple[str, str
         "anchors": tracked,
         "anchor_signs": posterior.anchor_check(tracked, *anchors),
         "scales": ch.scale_check(draws),
-        "health": convergence.health_report(conv, sampler),
+        "health": convergence.health_report(conv, sampler).withColumn("n_parameters", F.lit(n_parameters)),
     }

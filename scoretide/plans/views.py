@@ -1,7 +1,7 @@
 """The test tables in the roles of the panel's inputs.
 
 Customers are entities, order years are periods, suppliers are parameters and
-line numbers 1 to 4 are chains. Everything is a narrow Spark plan over the
+line numbers are chains. Everything is a narrow Spark plan over the
 given Parquet tables, so the work grows with them.
 """
 
@@ -16,7 +16,7 @@ from scoretide.operators.spread import group_positions
 from scoretide.session import materialise
 
 INDICATORS = ["pri_str_a", "pri_str_b", "pri_con_a", "sta_str_a", "sta_con_a", "val_str_a", "val_con_a"]
-N_CHAINS = 4
+N_CHAINS = 7
 DRAW_ORDER = ["l_orderkey", "l_partkey", "l_extendedprice", "l_shipdate", "l_discount", "l_tax",
               "l_returnflag", "l_linestatus"]
 SAMPLER_ORDER = ["l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_discount", "l_tax"]
@@ -87,9 +87,9 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def draw_values(spark: SparkSession, sf_dir: str, n_chains: int = N_CHAINS) -> DataFrame:
+def draw_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Theta draws without their iteration, for summaries that do not need it."""
-    return table(spark, sf_dir, "lineitem").filter(F.col("l_linenumber") <= n_chains).select(
+    return table(spark, sf_dir, "lineitem").select(
         F.lit("theta").alias("param"), F.col("l_suppkey").alias("idx"),
         F.col("l_linenumber").alias("chain"), F.col("l_extendedprice").alias("value"),
     )
@@ -97,7 +97,7 @@ def draw_values(spark: SparkSession, sf_dir: str, n_chains: int = N_CHAINS) -> D
 
 def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Theta draws: iteration is the position in a total order within (parameter, chain)."""
-    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_linenumber") <= N_CHAINS).select(
+    lines = table(spark, sf_dir, "lineitem").select(
         "l_suppkey", "l_linenumber", *DRAW_ORDER
     )
     placed = group_positions(lines, ["l_suppkey", "l_linenumber"], DRAW_ORDER, "iteration")
@@ -110,7 +110,7 @@ def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def item_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alpha and beta draws per part, in long form."""
-    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_linenumber") <= N_CHAINS)
+    lines = table(spark, sf_dir, "lineitem")
     both = F.explode(F.array(
         F.struct(F.lit("alpha").alias("param"), (F.col("l_quantity") / 10 - 2.5).alias("value")),
         F.struct(F.lit("beta").alias("param"), (20 * F.col("l_discount") - 1).alias("value")),
@@ -121,9 +121,9 @@ def item_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sampler(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Divergence, tree depth and energy per draw. A chain is a quarter of the
+    """Divergence, tree depth and energy per draw. A chain is a large part of the
     table, so its positions come from the spread path beyond the hot limit."""
-    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_linenumber") <= N_CHAINS).select(
+    lines = table(spark, sf_dir, "lineitem").select(
         "l_linenumber", "l_quantity", *SAMPLER_ORDER
     )
     placed = group_positions(lines, ["l_linenumber"], SAMPLER_ORDER, "iteration")

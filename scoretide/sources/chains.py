@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from scoretide.functions.values import param_index, param_name
 from scoretide.operators.spread import bounded_broadcast
+from scoretide.session import materialise
 from scoretide.sources.lines import number_rows, with_split
 
-# Sampler internals that nothing downstream reads, and the first header field.
+# Sampler internals that nothing downstream reads.
 INTERNAL = r"^(z_init|z_trans|sigma_firm_raw)[.\[]"
-FIRST_FIELD = "lp__"
+NO_VALUE = r"^\s*(?i:NA|NaN)?\s*$"
 EXCLUDED = "profile"
 # file:/x and file:///x name the same local file
 LOCAL_SCHEME = r"^file:/+"
@@ -28,38 +29,40 @@ def chain_files(spark: SparkSession, path: str, exclude: str = EXCLUDED) -> list
     return found
 
 
-def header_fields(spark: SparkSession, file: str) -> DataFrame:
-    """(pos, param, idx) of every column; a scalar parameter has index 0."""
-    line = spark.read.text(file).filter(F.col("value").startswith(FIRST_FIELD)).limit(1)
-    fields = line.select(F.posexplode(F.split("value", ",")).alias("pos", "field"))
-    return fields.select(
-        "pos", "field", param_name(F.col("field")).alias("param"),
-        F.coalesce(param_index(F.col("field")), F.lit(0)).cast("long").alias("idx"),
-    )
-
-
 def read_chains(spark: SparkSession, path: str, drop: str | None = INTERNAL) -> DataFrame:
-    """Long draws (chain, iteration, param, idx, value) from wide chain CSVs.
+    """Long draws (chain, iteration, param, idx, value) from wide chain CSVs; a scalar parameter has index 0.
 
-    A chain file can have more columns than the CSV reader takes, so lines are
-    read as text and split. Dropped columns leave in the broadcast join with the
-    header, before any shuffle. Iteration is the line's position among the
-    file's data lines.
+    A chain file can have more columns than the CSV reader takes, so lines are read as text and split. The first line of a
+    file that is no comment is its header, and its cells are named by that header, so files may order their columns
+    differently. Dropped columns leave in the join with the headers, before any shuffle. Iteration is the line's position
+    among the file's data lines. A file without a header, a line with more or fewer fields than its header and a cell
+    that is no number (but for NA, NaN and empty ones, which are NULL or NaN) are errors.
     """
     files = chain_files(spark, path)
-    fields = header_fields(spark, files[0])
-    if drop:
-        fields = fields.filter(~F.col("field").rlike(drop))
     text = with_split(spark.read.text(files))
-    is_data = (F.length("value") > 0) & ~F.col("value").startswith("#") & ~F.col("value").startswith(FIRST_FIELD)
-    numbered = number_rows(text.filter(is_data), "iteration", per_file=True)
-    path = F.regexp_replace("_file", LOCAL_SCHEME, "/")
-    chain = F.array_position(F.array(*[F.lit(f) for f in files]), path).cast("int")
-    cells = numbered.select(
-        chain.alias("chain"), "iteration", F.posexplode(F.split("value", ",")).alias("pos", "cell")
-    )
-    kept = cells.join(bounded_broadcast(fields.drop("field")), "pos")
-    return kept.select("chain", "iteration", "param", "idx", F.col("cell").try_cast("double").alias("value"))
+    lines = number_rows(text.filter((F.length("value") > 0) & ~F.col("value").startswith("#")), "_line", per_file=True)
+    names = spark.createDataFrame([(f, k + 1) for k, f in enumerate(files)], "_path string, chain int")
+    lines = lines.withColumn("_path", F.regexp_replace("_file", LOCAL_SCHEME, "/")).join(bounded_broadcast(names), "_path")
+    split = lines.select("chain", "_line", F.split("value", ",").alias("_cells"))
+
+    field = F.when(F.col("field").try_cast("double").isNotNull(), F.raise_error(F.concat(F.lit("no header in chain file "), F.col("chain").cast("string")))).otherwise(F.col("field"))
+    headers = split.filter("_line = 1").select("chain", F.size("_cells").alias("n_fields"), F.posexplode("_cells").alias("pos", "field"))
+    headers = materialise(headers.withColumn("field", field).select(
+        "chain", "pos", "n_fields", "field", param_name(F.col("field")).alias("param"),
+        F.coalesce(param_index(F.col("field")), F.lit(0)).cast("long").alias("idx"),
+    ), "chain-headers")
+    widths = headers.groupBy("chain").agg(F.max("n_fields").alias("n_fields"))
+    if drop:
+        headers = headers.filter(~F.col("field").rlike(drop))
+
+    where = F.concat(F.lit("chain file "), F.col("chain").cast("string"), F.lit(", draw "), F.col("iteration").cast("string"))
+    data = split.filter("_line > 1").withColumn("iteration", F.col("_line") - 1).join(bounded_broadcast(widths), "chain")
+    whole = F.when(F.size("_cells") == F.col("n_fields"), F.col("_cells")).otherwise(F.raise_error(F.concat(where, F.lit(" has a wrong number of fields"))))
+    cells = data.select("chain", "iteration", F.posexplode(whole).alias("pos", "cell"))
+    kept = cells.join(bounded_broadcast(headers.drop("field", "n_fields")), ["chain", "pos"])
+    value = F.col("cell").try_cast("double")
+    number = F.when(value.isNull() & ~F.col("cell").rlike(NO_VALUE), F.raise_error(F.concat(where, F.lit(" holds a cell that is no number")))).otherwise(value)
+    return kept.select("chain", "iteration", "param", "idx", number.alias("value"))
 
 
 def write_draws(draws: DataFrame, path: str) -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scoretide.operators.spread import bounded_broadcast
+from scoretide.session import materialise
 
 SPLIT = ["_file", "_block"]
 
@@ -29,7 +30,7 @@ def number_rows(df: DataFrame, out: str, per_file: bool) -> DataFrame:
     order = Window.partitionBy("_file" if per_file else F.lit(0)).orderBy(*SPLIT)
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     starts = splits.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    joined = tagged.join(bounded_broadcast(starts), SPLIT)
+    joined = tagged.join(bounded_broadcast(materialise(starts, "splits")), SPLIT)
     return joined.withColumn(out, F.col("_before") + F.col("_mid") - F.col("_first") + 1).drop(
         "_mid", "_first", "_before"
     )
