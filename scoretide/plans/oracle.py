@@ -211,6 +211,43 @@ SPACED = """spaced as (select param, idx from (select param, cast(round_even(1 +
  select 'beta', max(l_partkey) from lineitem) q, (select unnest(range(50)) as j) g) s group by param, idx)"""
 
 
+def coded(select: str) -> str:
+    """Key resolution period by period as common tables: what came before, the id stage, the name stage."""
+    parts = [PANEL, """log0 as (select null::varchar as name, null::varchar as old_key, null::varchar as new_key, 0 as year_created,
+ 0 as stage, 0::bigint as key_ord, 0::bigint as place where false), done0 as (select null::bigint as row_ord, null::varchar as name,
+ null::varchar as issuerid, null::varchar as key where false)"""]
+    for k, period in enumerate(range(1995, 2002)):
+        before = "year_created, stage, key_ord, place"
+        top = "select old_key, max(try_cast(regexp_extract(new_key, '\\.([0-9]+)$', 1) as int)) as top from {log} group by old_key"
+        named = "concat({a}.key, '.', cast(coalesce(top + 1, 2) + place - 1 as varchar)) as new_key"
+        parts += [
+            f"""cur{k} as materialized (select p.row_ord, p.name, p.issuerid, coalesce(l.new_key, p.ticker) as key from panel_raw p left join (
+ select name, last(new_key order by {before}) as new_key from log{k} group by name) l on p.name = l.name where p.period = {period})""",
+            f"""ids{k} as materialized (select *, count(*) over (partition by key) as n, min(ord) over (partition by key) as key_ord from (
+ select key, issuerid, name, min(row_ord) as ord from cur{k} where issuerid <> '' and key is not null group by 1, 2, 3) q qualify n > 1)""",
+            f"""keeper{k} as materialized (select i.key, case when max(past.key) is not null then min(case when s.key is not null then i.issuerid end)
+ else min(i.issuerid) end as keeper from ids{k} i left join (select distinct key, issuerid from done{k} where issuerid is not null) s
+ on s.key = i.key and s.issuerid = i.issuerid left join (select distinct key from done{k} where issuerid is not null) past on past.key = i.key group by i.key)""",
+            f"""idnames{k} as materialized (select m.*, {named.format(a='m')} from (select i.*, row_number() over (partition by i.key order by i.issuerid, i.ord) as place
+ from ids{k} i join keeper{k} e on e.key = i.key where i.issuerid <> e.keeper) m left join ({top.format(log=f'log{k}')}) t on t.old_key = m.key)""",
+            f"""mid{k} as materialized (select * from log{k} union all select name, key, new_key, {period}, 1, key_ord, place from idnames{k})""",
+            f"""moved{k} as materialized (select c.row_ord, c.name, c.issuerid, coalesce(l.new_key, c.key) as key from cur{k} c left join (
+ select issuerid, last(new_key order by key_ord, place) as new_key from idnames{k} group by issuerid) l on l.issuerid = c.issuerid)""",
+            f"""claims{k} as materialized (select *, count(*) over (partition by key) as n, min(ord) over (partition by key) as key_ord from (
+ select key, name, min(row_ord) as ord from moved{k} where key is not null group by 1, 2) q qualify n > 1)""",
+            f"""fresh{k} as materialized (select * from (select *, row_number() over (partition by name order by key_ord, key, ord) as nth from claims{k} c where not exists (
+ select 1 from (select key, name from done{k} union all select old_key, name from mid{k}) b where b.key = c.key and b.name is not distinct from c.name)) q
+ where nth = 1 or name is null)""",
+            f"""names{k} as materialized (select m.*, {named.format(a='m')} from (select *, row_number() over (partition by key order by ord) as place from fresh{k}) m
+ left join ({top.format(log=f'mid{k}')}) t on t.old_key = m.key)""",
+            f"""log{k + 1} as materialized (select * from mid{k} union all select name, key, new_key, {period}, 2, key_ord, place from names{k})""",
+            f"""done{k + 1} as materialized (select * from done{k} union all select m.row_ord, m.name, m.issuerid, coalesce(l.new_key, m.key) from moved{k} m left join (
+ select name, last(new_key order by key_ord) as new_key from names{k} group by name) l on l.name = m.name)""",
+        ]
+    parts.append("""coded as (select p.name, p.period, p.ticker, coalesce(d.key, p.ticker) as new_key from panel_raw p left join done7 d on d.row_ord = p.row_ord)""")
+    return "with " + ", ".join(parts) + " " + select
+
+
 def w(ctes: str, select: str) -> str:
     return f"with {ctes} {select}"
 
@@ -244,6 +281,12 @@ def oracle() -> dict[str, str]:
         "resolve_first_keeps": w(FIRST_KEEPS, """select p.name, p.period, p.ticker,
             case when r.k > 1 then concat(p.ticker, '.', cast(r.k as varchar)) else p.ticker end as new_key
             from panel_raw p left join ranked r on p.ticker = r.ticker and p.name = r.name"""),
+        "resolve_coded": coded("select * from coded"),
+        "unresolved": coded("""select period, new_key, count(distinct coalesce(name, '?')) as n_names from coded where new_key is not null
+            group by 1, 2 having count(distinct coalesce(name, '?')) > 1"""),
+        "resolution_log": coded("select name, old_key, new_key, year_created, stage from log7"),
+        "lost_rows": coded("""select period, cast(sum(n - 1) as bigint) as n_lost from (
+            select period, new_key, count(*) as n from coded group by 1, 2 having count(*) > 1) q group by period"""),
         "to_long": w(OBS, "select name, period, indicator, y from obs"),
         "subset_periods": w(OBS, "select name, period, indicator, y from obs where period between 1996 and 1998"),
         "to_wide": w(OBS, wide),
@@ -411,4 +454,6 @@ def oracle() -> dict[str, str]:
             from obs group by period, indicator"""),
         "write_scores": w(SCORES, "select name, ticker, cast(year as int) as year, round(mean, 4) as mean, round(sd, 4) as sd, round(mn, 4) as min, "
                     + ", ".join(f"round({n}, 4) as {n}" for _, n in QUANTILES) + ", round(mx, 4) as max from scores"),
+        "write_item_params": w(ITEM_PARAMS, "select item_col, year, item_idx, " + ", ".join(
+            f"round({q}_{c}, 6) as {q}_{c}" for q in ("alpha", "beta") for c in ("mean", "sd", "pct05", "pct50", "pct95")) + " from params"),
     }

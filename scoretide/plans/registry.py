@@ -113,6 +113,17 @@ def unresolved(spark, sf):
     return resolve.unresolved_collisions(out.rows)
 
 
+@query
+def resolution_log(spark, sf):
+    """Who got which suffix under which key, and when."""
+    return resolve.resolve_keys(v.panel_raw(spark, sf)).log.select("name", "old_key", "new_key", "year_created", "stage")
+
+
+@query
+def lost_rows(spark, sf):
+    return resolve.lost_rows(resolve.resolve_keys(v.panel_raw(spark, sf)).rows)
+
+
 # shapes and indexes
 
 
@@ -543,6 +554,13 @@ def fit_gibbs(spark, sf):
     return fit.fit_gibbs(*_panel_and_anchors(spark, sf), chains=2, iterations=3, burn=1).draws
 
 
+@query
+def gibbs_convergence(spark, sf):
+    """R-hat and effective sizes of fitted chains, by parameter."""
+    got = fit.fit_gibbs(*_panel_and_anchors(spark, sf), chains=2, iterations=6, burn=1)
+    return rounded(conv.convergence(materialise(got.draws, "gibbs-draws")))
+
+
 @query
 def fit_to_scores(spark, sf):
     """Fit, draw from the fit, summarise: the whole way from observations to a score table."""
@@ -650,6 +668,16 @@ def write_scores(spark, sf):
     return back.select("name", "ticker", F.col("year").cast("int").alias("year"), *[F.col(c).cast("double").alias(c) for c in s.columns[3:]])
 
 
+@query
+def write_item_params(spark, sf):
+    """Item CSV written in order and read back as text."""
+    params = rounded(posterior.item_params(v.item_draws(spark, sf), v.item_table(spark, sf), v.EP_BASE))
+    path = fresh_path(spark, "items-csv")
+    tables.write_item_params(params, path)
+    back = spark.read.csv(path, header=True)
+    return back.select(*[F.col(c).cast(t).alias(c) for c, t in params.dtypes])
+
+
 @query
 def table_hand_off(spark, sf):
     """Panel tables written for the next step and loaded again."""

@@ -15,8 +15,8 @@ from scoretide.sources import chains as cf
 
 SQL = oracle()
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
-# Period-by-period resolution and fits are tested on their own panels.
-ELSEWHERE = {"resolve_coded", "unresolved", "fit_em", "fit_em_items", "fit_em_static", "fit_gibbs", "fit_to_scores"}
+# Fits are tested on their own panels.
+ELSEWHERE = {"fit_em", "fit_em_items", "fit_em_static", "fit_gibbs", "fit_to_scores", "gibbs_convergence"}
 
 
 @pytest.fixture(scope="module")
