@@ -109,6 +109,7 @@ def test_toxicity_edges(clashing, empty, labelled):
 
 def test_quality_prefers_the_target(labelled, clashing, empty):
     docs, labels = labelled
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.repeat(F.lit(" $$$ !!!"), 30))).otherwise(F.col("text")))
     found = quality.sample_quality(docs, labels, keep=0.75).cache()
     assert found.where("kept").count() == -(-docs.count() * 3 // 4)
     held = found.join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id"))).groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("share"))
