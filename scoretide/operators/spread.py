@@ -22,14 +22,30 @@ from scoretide.session import materialise
 HOT_ROWS = 100_000
 # Rows per range partition on the spread path.
 PART_ROWS = 1_000_000
-# Rows of a table that may be broadcast after its size was counted.
+# Rows and bytes of a table that may be broadcast after its size was counted.
 BROADCAST_ROWS = 200_000
-
-
-def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if the counted table is small; else leave the join to shuffle."""
-    small = df.limit(limit + 1).count() <= limit
-    return F.broadcast(df) if small else df
+BROADCAST_BYTES = 64 << 20
+FIXED_BYTES = 16  # of a value of fixed width with what Spark keeps beside it
+
+
+def _bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: lengths of text and arrays, a constant for the rest."""
+    total = F.lit(FIXED_BYTES)
+    for name, kind in df.dtypes:
+        column = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(column), F.lit(0))
+        elif kind.startswith("array"):
+            total = total + F.greatest(F.coalesce(F.size(column), F.lit(0)), F.lit(0)) * FIXED_BYTES
+        else:
+            total = total + FIXED_BYTES
+    return total.cast("long")
+
+
+def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only if the counted table is small in rows and bytes; else leave the join to shuffle."""
+    rows, size = df.select(_bytes(df).alias("_size")).limit(limit + 1).agg(F.count("*"), F.coalesce(F.sum("_size"), F.lit(0))).first()
+    return F.broadcast(df) if rows <= limit and size <= most else df
 
 
 def group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:

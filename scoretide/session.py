@@ -24,8 +24,8 @@ DEFAULTS = {
 JVM_OPTIONS = "-XX:-DontCompileHugeMethods"
 
 
-def local_session(cores: str = "*", memory: str = "8g", name: str = "scoretide") -> SparkSession:
-    """A session for tests and single-machine runs."""
+def local_session(cores: str = "*", memory: str = "8g", name: str = "scoretide", folder: str | None = None) -> SparkSession:
+    """A session for tests and single-machine runs. ``folder`` is where intermediate tables go."""
     threads = os.cpu_count() if cores == "*" else int(cores)
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -36,6 +36,8 @@ def local_session(cores: str = "*", memory: str = "8g", name: str = "scoretide")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(threads))
     )
+    if folder:
+        builder = builder.config("spark.checkpoint.dir", folder)
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
