@@ -154,7 +154,7 @@ def near_duplicates(
     Without ``similarity`` tiles go by the bit counts of the fingerprints' four words, whose differences add up to no more than
     the radius. With ``similarity``, which allows a wide radius, a link also needs that share of common
     ``similar``-word shingles, as 128 minimal hashes estimate it, less ``SLACK``; tiles then go by the number of
-    shingles, in steps of that share, and the bit count.
+    shingles, in steps of that share, and by ranges of the bit count as wide as the radius.
 
     NULL and empty texts have fingerprint zero, which links like any other. NULL ids never become a component id unless
     all ids of a component are NULL. Repeated rows share a fingerprint. An empty table gives an empty result.
@@ -166,7 +166,8 @@ def near_duplicates(
     distinct = stored(rows.groupBy(*key).agg(first.alias("first"), F.min("place").alias("node")), "fps")
     if similarity:
         size = F.floor(F.log(F.greatest(F.col("size"), F.lit(1))) / -math.log(similarity)).cast("int")
-        found = links(distinct.select("node", "fp", "sketch", "size"), [size, F.bit_count("fp")], _steps([1, radius], None), radius, similarity - SLACK)
+        ones = F.floor(F.bit_count("fp") / (radius + 1)).cast("int")  # further apart than next to each other is beyond the radius
+        found = links(distinct.select("node", "fp", "sketch", "size"), [size, ones], _steps([1, 1], None), radius, similarity - SLACK)
     else:
         found = links(distinct.select("node", "fp"), _word_counts("fp"), _steps([radius] * WORDS, radius), radius)
     roots = components(found).withColumnRenamed("node", "member")
