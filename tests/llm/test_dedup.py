@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from scoretide.llm import exact_dedup, simhash
 from scoretide.llm.components import components, forest
 from scoretide.llm.exact_dedup import content_sort
@@ -103,6 +104,43 @@ def test_near_copies_by_similarity(docs, texts):
             assert any(jaccard(own[doc], own[other]) >= 0.7 for other, g in groups.items() if g == group and other != doc)
 
 
+def edited(rnd, words, kind, share):
+    """``words`` with edits that leave about ``share`` of the five-word shingles in common."""
+    n, gone = len(words), 1 - 2 * share / (1 + share)  # shingles of either text that the other lacks
+    out = list(words)
+    if kind == "scattered":
+        for k in rnd.choice(n, max(1, round(gone * n / 5)), replace=False):
+            out[k] = f"new{rnd.integers(10**9)}"
+    elif kind == "contiguous":
+        size = max(1, round(gone * n) - 4)
+        at = int(rnd.integers(5, n - size - 5))
+        out[at : at + size] = [f"new{rnd.integers(10**9)}" for _ in range(size)]
+    else:
+        out += [f"new{rnd.integers(10**9)}" for _ in range(round(n / share) - n)]
+    return out
+
+
+@pytest.mark.parametrize("tile", [100, 1024])
+def test_links_are_all_pairs_by_exact_similarity(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash.links, "__defaults__", (None, tile))
+    rnd, texts = np.random.default_rng(3), []
+    for k in range(600):
+        base = [f"w{x}" for x in rnd.integers(0, 5000, int(rnd.integers(60, 400)))]
+        texts += [base, edited(rnd, base, ("scattered", "contiguous", "appended")[k % 3], rnd.uniform(0.77, 0.86))]
+    line = [f"w{x}" for x in rnd.integers(0, 5000, 84)]  # 80 shingles: 20 more make 0.8 exactly, 21 less
+    texts += [line, line + [f"x{k}" for k in range(20)], line[:50] * 9, line[:50] * 2 + line[:4]]
+    line = [f"w{x}" for x in rnd.integers(0, 5000, 84)]
+    texts += [line, line + [f"y{k}" for k in range(21)]]
+    texts = [" ".join(t) for t in texts]
+    sets = [set(zip(*[t.split()[k:] for k in range(5)])) for t in texts]
+    pairs = [(k, k + 1) for k in range(0, len(texts), 2) if jaccard(texts[k], texts[k + 1]) >= 0.8]
+    assert 250 < len(pairs) < 560 and jaccard(texts[1200], texts[1201]) == 0.8 > jaccard(texts[1204], texts[1205]) and sets[1202] == sets[1203]
+    want = roots_of(len(texts), pairs)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = near_duplicates(df, radius=corpus_pipeline.RADIUS, similarity=corpus_pipeline.SIMILARITY)
+    assert rows_of(found, "doc_id", "component_id") == sorted(enumerate(want), key=str)
+
+
 def test_components(spark):
     rnd = np.random.default_rng(1)
     pairs = [(int(a), int(b)) for a, b in rnd.integers(0, 400, (260, 2))] + [(k, k + 1) for k in range(500, 600)] + [(700, k) for k in range(701, 760)]
