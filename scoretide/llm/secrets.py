@@ -25,12 +25,13 @@ ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-# What makes the text that follows a credential, and where such a value ends.
+# What makes the text that follows a credential, and the value up to a closing sign; at the end of a run trailing signs are not
+# part of it. The search goes on behind the value, so contexts in one run without spaces are all found.
 CONTEXT = re.compile(
     r"""(?ai:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credentials?|bearer|login|pin)"""
-    r"""["']?(?:[\x20\t]*[:=]{1,2}[\x20\t]*|[\x20\t]+is[\x20\t]+)["']?([!-~]{6,})"""
+    r"""["']?(?:[\x20\t]*[:=]{1,2}[\x20\t]*|[\x20\t]+is[\x20\t]+)["']?(?=[!-~]{6})((?:(?!["'<>,;)\]}])[!-~])*)"""
 )
-VALUE_END = re.compile(r"""["'<>,;)\]}]+.*$|[.:!?]+$""", re.S)
+CLOSING, TRAILING = frozenset("\"'<>,;)]}"), ".:!?"
 
 # Values that take at least 10**GUESS_LOG10 guesses are reported.
 GUESS_LOG10 = 10.0
@@ -125,19 +126,22 @@ def find(text: str, vocabulary: str, threshold: float = GUESS_LOG10) -> tuple[li
     spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     spans.sort()
-    starts, reach, far = [s[0] for s in spans], [], 0
-    for s in spans:
-        far = max(far, s[2])
-        reach.append(far)
+    starts, ends = [], []  # what the patterns cover, in pieces that do not touch
+    for start, _, end in spans:
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
     added, highest = [], None
     for m in CONTEXT.finditer(text):
-        value = VALUE_END.sub("", m.group(1))
+        value = m.group(1) if text[m.end() : m.end() + 1] in CLOSING else m.group(1).rstrip(TRAILING)
         if len(value) < 6:
             continue
         cost, start, end = guess_cost(value, vocabulary), m.start(1), m.start(1) + len(value)
         highest = cost if highest is None else max(highest, cost)
-        at = bisect_right(starts, end - 1) - 1
-        if cost >= threshold and (at < 0 or reach[at] <= start):
+        at = bisect_right(starts, start) - 1
+        if cost >= threshold and (at < 0 or ends[at] < end):
             added.append((start, 3, end))
     return sorted(spans + added), highest
 
@@ -155,8 +159,8 @@ def scan_secrets(
     the input row comes as a struct ``row``).
 
     ``spans`` joins kind:start:end by start, then kind; ends are exclusive, positions count code points. Kind ``guess`` is
-    what the guess-cost recursion adds: values in a credential context that no pattern covers and that take at least
-    10**``threshold`` guesses. ``max_log10_guesses`` is the highest cost of any value in such a context, else NULL.
+    what the guess-cost recursion adds: values in a credential context that the patterns do not cover wholly and that take at
+    least 10**``threshold`` guesses. ``max_log10_guesses`` is the highest cost of any value in such a context, else NULL.
 
     A NULL or empty text has no spans. NULL ids and repeated rows are scanned like any other. An empty table gives an
     empty result. Nothing is shuffled and texts are read whole.
