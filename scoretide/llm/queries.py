@@ -10,6 +10,7 @@ from scoretide.llm.embedding import near_vectors
 from scoretide.llm.exact_dedup import content_sort
 from scoretide.llm.packing import pack
 from scoretide.llm.passages import drop_repeats
+from scoretide.llm.periodic import find_runs, run_report
 from scoretide.llm.pieces import decode_pieces, encode_pieces
 from scoretide.llm.quality import sample_quality
 from scoretide.llm.secrets import scan_secrets
@@ -62,6 +63,10 @@ def op10_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return drop_repeats(table(spark, sf, "documents", "doc_id", "text"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return run_report(find_runs(table(spark, sf, "documents", "doc_id", "text"), planted=True))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -73,4 +78,5 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
