@@ -17,6 +17,7 @@ from scoretide.llm.secrets import scan_secrets
 from scoretide.llm.simhash import near_duplicates
 from scoretide.llm.toxicity import score_toxicity
 from scoretide.llm.warc import archive_round_trip
+from scoretide.llm.whitening import whiten
 
 
 def op1_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,6 +64,10 @@ def op10_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return drop_repeats(table(spark, sf, "documents", "doc_id", "text"))
 
 
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whiten(table(spark, sf, "embeddings", "vec_id", "embedding"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
     return run_report(find_runs(table(spark, sf, "documents", "doc_id", "text"), planted=True))
 
@@ -78,5 +83,6 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_whitening": op11_whitening,
     "op13_periodic_runs": op13_periodic_runs,
 }
