@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scoretide.llm.common import table
 from scoretide.llm.embedding import near_vectors
 from scoretide.llm.exact_dedup import content_sort
+from scoretide.llm.neighbours import nearest
 from scoretide.llm.packing import pack
 from scoretide.llm.passages import drop_repeats
 from scoretide.llm.periodic import find_runs, run_report
@@ -68,6 +69,10 @@ def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
     return whiten(table(spark, sf, "embeddings", "vec_id", "embedding"))
 
 
+def op12_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return nearest(table(spark, sf, "embeddings", "vec_id", "embedding"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
     return run_report(find_runs(table(spark, sf, "documents", "doc_id", "text"), planted=True))
 
@@ -84,5 +89,6 @@ QUERIES = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_whitening": op11_whitening,
+    "op12_neighbours": op12_neighbours,
     "op13_periodic_runs": op13_periodic_runs,
 }
