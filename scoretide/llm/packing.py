@@ -20,8 +20,8 @@ WINDOW = 4096
 END_ID = 2
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
-# Partially filled windows that are held at once; beyond it their contents are moved together.
-OPEN_WINDOWS = 512
+# Bytes of ids in partially filled windows that a task holds; beyond it the fullest of them are moved together.
+OPEN_BYTES = 256 << 20
 
 # Encoded words a worker remembers; the store starts afresh when it is full.
 KNOWN_WORDS = 800_000
@@ -92,11 +92,11 @@ class Packer:
     filled windows smallest; ``counts`` is the level array, ``at`` has the windows of each level.
     """
 
-    def __init__(self, window: int = WINDOW, open_windows: int = OPEN_WINDOWS) -> None:
-        self.window, self.open_windows = window, open_windows
+    def __init__(self, window: int = WINDOW, open_bytes: int = OPEN_BYTES) -> None:
+        self.window, self.open_bytes = window, open_bytes
         self.counts = np.zeros(window + 1, dtype=np.int64)
         self.at: dict[int, list[list]] = {}
-        self.n_open = 0
+        self.held = 0  # ids in open windows
         self.done: list[list] = []
 
     def level_for(self, size: int) -> int:
@@ -104,7 +104,7 @@ class Packer:
         before, after = self.counts[: top + 1], self.counts[size : self.window + 1]
         change = 2 * (after - before)  # both ends also add one, the same for all but the two below
         change = np.where(before > 0, change, np.iinfo(np.int64).max)
-        change[0] = 2 * after[0] + 1  # a new window leaves no level
+        change[0] = 2 * after[0] - 1  # a new window leaves no level
         if before[top] > 0:
             change[top] = -2 * before[top] - 1  # a full window reaches no level
         least = change.min()
@@ -118,8 +118,8 @@ class Packer:
         size = (len(ids) - whole) // 4
         if size:
             self.place(size, [(row, whole // 4, ids[whole:])])
-            if self.n_open > self.open_windows:
-                self.gather(last=False)
+            if 4 * self.held > self.open_bytes:
+                self.spill()
 
     def place(self, size: int, pieces: list) -> None:
         level = self.level_for(size)
@@ -127,21 +127,37 @@ class Packer:
         if level:
             held = self.at[level].pop()
             self.counts[level] -= 1
-            self.n_open -= 1
+            self.held -= level
         held = held + pieces
         if level + size == self.window:
             self.done.append(held)
             return
         self.at.setdefault(level + size, []).append(held)
         self.counts[level + size] += 1
-        self.n_open += 1
+        self.held += level + size
+
+    def spill(self) -> None:
+        """Move the contents of the fullest windows together, cutting pieces, until half the bytes are left; the other levels stay."""
+        pieces = []
+        while 8 * self.held > self.open_bytes:
+            level = max(level for level, held in self.at.items() if held)
+            pieces += self.at[level].pop()
+            self.counts[level] -= 1
+            self.held -= level
+        rest, size = self.fill(pieces)
+        if size:
+            self.place(size, rest)
 
-    def gather(self, last: bool) -> None:
-        """Move the contents of the open windows together, cutting pieces, until one at most is partially filled.
-        With ``last`` that one is cut into sequences whose lengths are powers of two, which need no padding."""
+    def finish(self) -> None:
+        """Move the contents of all open windows together, until one at most is partially filled; that one is cut into
+        sequences whose lengths are powers of two, which need no padding."""
         pieces = [piece for level in sorted(self.at, reverse=True) for held in self.at[level] for piece in held]
-        self.at, self.n_open = {}, 0
+        self.at, self.held = {}, 0
         self.counts[:] = 0
+        self.powers(*self.fill(pieces))
+
+    def fill(self, pieces: list) -> tuple[list, int]:
+        """Whole windows from the pieces end to end; what is left over, and its length."""
         held, free = [], self.window
         for row, start, ids in pieces:
             while ids:
@@ -151,10 +167,7 @@ class Packer:
                 if not free:
                     self.done.append(held)
                     held, free = [], self.window
-        if held and not last:
-            self.place(self.window - free, held)
-        elif held:
-            self.powers(held, self.window - free)
+        return held, self.window - free
 
     def powers(self, pieces: list, size: int) -> None:
         while size:
@@ -180,7 +193,8 @@ def pack(
 
     A document is its token ids and ``end_id``. Whole windows are cut off first; the remainder is packed online by the
     sum-of-squares rule. Each partition is packed on its own, without a shuffle; its last windows are moved together
-    at the end, so only sequences at a power of two are shorter than a window and nothing is padded.
+    at the end, so only sequences at a power of two are shorter than a window and nothing is padded. A task that holds more than
+    OPEN_BYTES in open windows moves the fullest ones together before, and keeps the levels of the rest.
 
     A NULL or empty text is ``end_id`` alone. NULL ids and repeated rows are documents of their own. An empty table gives
     an empty result. Other columns are not read.
@@ -220,7 +234,7 @@ def pack(
                     row += 1
                 if packer.done:
                     yield finished()
-        packer.gather(last=True)
+        packer.finish()
         if packer.done:
             yield finished()
 

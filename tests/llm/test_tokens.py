@@ -69,12 +69,13 @@ def test_pack_edges(docs, clashing, empty):
     assert pack(clashing).count() == pack(docs).count()
 
 
-@pytest.mark.parametrize("open_windows", [2, 512])
-def test_packer_by_sum_of_squares(open_windows):
+@pytest.mark.parametrize("open_bytes", [300, 2000, 1 << 40])
+@pytest.mark.parametrize("sizes", [(1, 200), (33, 64), (64, 66)])
+def test_packer_by_sum_of_squares(open_bytes, sizes):
     rnd = random.Random(3)
-    packer, window, sizes = Packer(64, open_windows), 64, [rnd.randrange(1, 200) for _ in range(400)]
+    packer, window, sizes = Packer(64, open_bytes), 64, [rnd.randrange(*sizes) for _ in range(400)]
     for row, size in enumerate(sizes):
-        if open_windows == 512 and size < window:
+        if size < window:
             counts = packer.counts.copy()
             options = []
             for level in range(window - size + 1):
@@ -87,7 +88,8 @@ def test_packer_by_sum_of_squares(open_windows):
             best = min(cost for cost, _ in options)
             assert packer.level_for(size) in [level for cost, level in options if cost == best]
         packer.add(row, np.full(size, row, "<u4").tobytes())
-    packer.gather(last=True)
+    assert 4 * packer.held <= open_bytes // 2 + max(open_bytes // 2, 4 * window) and packer.held == sum(level * len(held) for level, held in packer.at.items())
+    packer.finish()
     held = [sum(len(ids) // 4 for *_, ids in d) for d in packer.done]
     assert sum(held) == sum(sizes) and all(h == window or h & (h - 1) == 0 for h in held)
     assert sum(h < window for h in held) <= 6
