@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,12 +19,16 @@ NEIGHBOURS, EVERY = 5, 50
 
 # The tree is fitted on at most this many vectors and numbers; every vector is indexed.
 FIT_ROWS, FIT_NUMBERS = 32_768, 4_000_000
-LEAF_ROWS, LEAST_LEAF, BRANCHES, ROUNDS = 256, 8, 8, 12
+LEAST_LEAF, BRANCHES, ROUNDS = 8, 8, 12
 
 # Queries that the number of visits is calibrated on, against all vectors, and the recall wanted there.
 CALIBRATION, RECALL = 256, 0.96
 
 TILE, BLOCK, CHUNK = 2048, 512, 256
+
+# Results that a task holds before it passes them on.
+HELD = 400_000
+
 SLACK = 1e-12
 
 
@@ -174,16 +179,56 @@ def best_in_tile(q: np.ndarray, x: np.ndarray, first: np.ndarray, keep: int) ->
     return i[place < keep], j[place < keep], score[place < keep]
 
 
+class Best:
+    """The nearest vectors of each query among those seen so far: ``keep`` per query, ties to the smaller first id."""
+
+    def __init__(self, keep: int) -> None:
+        self.keep, self.number, self.keys = keep, {}, []
+        self.parts: list[tuple] = []
+        self.rows = 0
+
+    def add(self, keys: list[bytes], i: np.ndarray, score: np.ndarray, ids: pa.ListArray) -> None:
+        for key in keys:
+            if key not in self.number:
+                self.number[key] = len(self.keys)
+                self.keys.append(key)
+        self.parts.append((np.array([self.number[key] for key in keys])[i], score, ids))
+        self.rows += len(i)
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
+        """Keep the best per query only."""
+        query, score = (np.concatenate([p[k] for p in self.parts]) for k in (0, 1))
+        ids = pa.concat_arrays([p[2] for p in self.parts])
+        first = ids.values.to_numpy(zero_copy_only=False)[ids.offsets.to_numpy()[:-1]]
+        order = np.lexsort((first, -score, query))
+        order = order[np.arange(len(order)) - np.searchsorted(query[order], query[order]) < self.keep]
+        kept = query[order], score[order], ids.take(pa.array(order))
+        self.parts, self.rows = [kept], len(order)
+        return kept
+
+    def batch(self) -> pa.RecordBatch:
+        query, score, ids = self.settle()
+        return pa.RecordBatch.from_arrays([pa.array([self.keys[k] for k in query], pa.binary()), pa.array(score), ids], names=["key", "score", "ids"])
+
+
 def _searched(width: int, keep: int):
-    """Pairs of a block of queries and a tile to (key, score, ids)."""
+    """Blocks of queries and the tiles that they visit to (key, score, ids). A task gives its best per query, unless it meets so many queries that
+    it lets go of them in between."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(keep)
         for batch in batches:
             for row in range(batch.num_rows):
-                keys, ids = batch.column("keys")[row].values, batch.column("ids")[row].values
                 q, x = (batch.column(c)[row].values.to_numpy(zero_copy_only=False).reshape(-1, width) for c in ("asked", "vec"))
                 first = batch.column("first")[row].values.to_numpy(zero_copy_only=False)
                 i, j, score = best_in_tile(q, x, first, keep)
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(i)), pa.array(score), ids.take(pa.array(j))], names=["key", "score", "ids"])
+                best.add(batch.column("keys")[row].as_py(), i, score, batch.column("ids")[row].values.take(pa.array(j)))
+                if best.rows > HELD:
+                    best.settle()
+                    if best.rows > HELD // 2:
+                        yield best.batch()
+                        best = Best(keep)
+        if best.rows:
+            yield best.batch()
 
     return work
 
@@ -238,14 +283,14 @@ def calibrated_visits(tree: Tree, queries: np.ndarray, own: list[int], near: dic
 
 def nearest(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = EVERY, neighbours: int = NEIGHBOURS,
-    recall: float = RECALL, fit_rows: int = FIT_ROWS, leaf_rows: int = LEAF_ROWS, calibration: int = CALIBRATION, tile: int = TILE,
+    recall: float = RECALL, fit_rows: int = FIT_ROWS, leaf_rows: int | None = None, calibration: int = CALIBRATION, tile: int = TILE,
 ) -> DataFrame:
     """For every row whose id is divisible by ``every`` its nearest other rows by cosine: ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``,
     and of the whole search ``visits`` and ``calibrated_recall``.
 
     Equal vectors are searched once and carry their smallest ids, as many as can be in a result. The tree is fitted on a
-    bounded sample of the distinct vectors (``fit_rows`` and FIT_NUMBERS numbers at most), every vector goes to its leaf, and leaves
-    are cut into tiles. Up to ``calibration`` queries are compared with all vectors; the number of leaves that a search visits
+    bounded sample of the distinct vectors (``fit_rows`` and FIT_NUMBERS numbers at most) down to leaves of about ``leaf_rows`` vectors (by
+    default the root of their number, or what the sample can tell apart); every vector goes to its leaf, and leaves are cut into tiles. Up to ``calibration`` queries are compared with all vectors; the number of leaves that a search visits
     is widened until ``recall`` of their true neighbours lie in them. Then each query is sent to that many leaves, best bin first, and
     meets every vector there. Scores are cosines of the original vectors in double precision; ties go to the smaller id.
 
@@ -281,6 +326,7 @@ def nearest(
     if not sample.num_rows:
         sample = distinct.select("key", "vec").limit(1).toArrow()
     points = unit(_flat(sample.column("vec").combine_chunks()).reshape(-1, width))
+    leaf_rows = leaf_rows or math.isqrt(n)
     tree = Tree.fit(points, max(min(LEAST_LEAF, leaf_rows), leaf_rows * len(points) / n))
     shared = spark.sparkContext.broadcast(tree)
 
