@@ -121,6 +121,45 @@ def test_toxicity_edges(clashing, empty, labelled):
     assert toxicity.score_toxicity(clashing, labels, keep_rows=True).select("row.*").columns == clashing.columns
 
 
+def test_class_probabilities_are_distributions(spark):
+    rows = [(1, "ab cd ab xyz ab"), (1, "ab qq cd ab"), (1, "ab cd"), (0, "cd ef gh"), (0, "ef gh cd"), (0, "gh"), (0, "cd zz"), (0, ""), (0, "EF, cd; gh")] * 5
+    found, totals = toxicity.term_counts(spark.createDataFrame([(k, t) for k, t in rows], "label int, text string").repartition(3))
+    for kind, discount in toxicity.DISCOUNT.items():
+        own = Counter(), Counter()
+        for label, text in rows:
+            own[label].update(toxicity.terms(text)[kind])
+        scaled = {t: (own[1][t], own[0][t] * 15 / 30) for t in own[0] | own[1]}
+        total = {"all": sum(map(sum, scaled.values())), "toxic": sum(max(a - discount, 0) for a, _ in scaled.values()), "ordinary": sum(max(b - discount, 0) for _, b in scaled.values())}
+        assert {k: totals[kind][k] for k in total} == pytest.approx(total)
+        kept = {r["term"]: (r["toxic"], r["ordinary"]) for r in found if r["kind"] == kind}
+        assert kept.keys() == {t for t, c in scaled.items() if max(c) > discount} and all(c == pytest.approx(scaled[t]) for t, c in kept.items())
+        sums = np.sum([toxicity.class_probabilities(*c, total, discount) for c in scaled.values()], axis=0)
+        assert sums == pytest.approx([1, 1])
+        rare = [toxicity.class_probabilities(*c, total, discount) for c in scaled.values() if max(c) <= discount]
+        assert all(t == pytest.approx(o) for t, o in rare)
+
+
+def test_terms_are_whole():
+    found = toxicity.terms("Don't donaudampfschiff 漢字 ไทย")
+    assert found["word"] == {"don't", "donaudampfschiff", "漢", "字", "ไ", "ท", "ย"}
+    assert "donaudampfschiff 漢" in found["pair"] and "schiff" in found["letters"] and "^don't" in found["letters"]
+
+
+@pytest.mark.parametrize("marks", [("donaudampfschiffx", "donaudampfschiffy"), ("漢字", "字漢"), ("red door", "door red")])
+def test_long_words_unspaced_scripts_and_expressions(spark, marks):
+    """Only what comes behind the eighth letter, the order of two characters, or the order of two ordinary words tells the classes apart."""
+    rnd, rows, labels = np.random.default_rng(6), [], []
+    words = [f"{a}{b}" for a in ("an", "be", "co", "du", "el", "fo", "ga") for b in ("nd", "rk", "lm", "st", "ft")]
+    for i in range(1200):
+        own, bad = list(rnd.choice(words, rnd.integers(20, 60))), i % 3 == 0
+        own[len(own) // 2] = marks[0] if bad else marks[1]
+        rows.append((i, " ".join(own)))
+        labels.append((i, int(bad)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    held = toxicity.score_toxicity(docs, labels).where("held_out").join(labels, "doc_id").collect()
+    assert sum(r.predicted == r.toxic for r in held) / len(held) > 0.98
+
+
 def test_quality_prefers_the_target(labelled, clashing, empty):
     docs, labels = labelled
     docs = docs.withColumn("text", F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.repeat(F.lit(" $$$ !!!"), 30))).otherwise(F.col("text")))
