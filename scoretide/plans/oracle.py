@@ -282,6 +282,7 @@ def oracle() -> dict[str, str]:
             case when r.k > 1 then concat(p.ticker, '.', cast(r.k as varchar)) else p.ticker end as new_key
             from panel_raw p left join ranked r on p.ticker = r.ticker and p.name = r.name"""),
         "resolve_coded": coded("select * from coded"),
+        "resolve_resumed": coded("select * from coded"),
         "unresolved": coded("""select period, new_key, count(distinct coalesce(name, '?')) as n_names from coded where new_key is not null
             group by 1, 2 having count(distinct coalesce(name, '?')) > 1"""),
         "resolution_log": coded("select name, old_key, new_key, year_created, stage from log7"),

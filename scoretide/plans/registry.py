@@ -107,6 +107,16 @@ def resolve_coded(spark, sf):
     return out.rows.select("name", "period", "ticker", "new_key")
 
 
+@query
+def resolve_resumed(spark, sf):
+    """All periods but the last, then the last from what the first run remembers."""
+    p = materialise(v.panel_raw(spark, sf), "panel")
+    last = p.agg(F.max("period")).first()[0]
+    early = resolve.resolve_keys(p.where(F.col("period") < last))
+    late = resolve.resolve_keys(p.where(F.col("period") == last), early.memory)
+    return early.rows.unionByName(late.rows).select("name", "period", "ticker", "new_key")
+
+
 @query
 def unresolved(spark, sf):
     out = resolve.resolve_keys(v.panel_raw(spark, sf))

@@ -1,11 +1,12 @@
-"""Key resolution: golden cases, and a row-by-row restatement of the rules on random panels."""
+"""Key resolution: golden cases, and three ways to run it that must agree on random panels."""
 
 import random
 
 import pytest
 
+from scoretide.operators.components import min_labels
 from scoretide.operators.resolve import (
-    finish_panel, lost_rows, resolve_first_keeps, resolve_keys, unresolved_collisions,
+    Memory, finish_panel, lost_rows, resolve_first_keeps, resolve_keys, unresolved_collisions, with_component,
 )
 
 SCHEMA = "period int, ticker string, name string, issuerid string, row_ord long"
@@ -55,66 +56,73 @@ def test_first_keeps(spark):
     assert {(r.name, r.new_key) for r in got} == {("X", "T"), ("Y", "T.2")}
 
 
-def restated(rows):
-    """The rules one row and one key at a time, on lists."""
-    rows = [dict(zip(("period", "key", "name", "id", "ord"), (*r, i))) for i, r in enumerate(rows)]
-    log = []
-
-    def free(key):
-        used = [int(e[2].rsplit(".", 1)[1]) for e in log if e[1] == key]
-        return max(used) + 1 if used else 2
-
-    def ordered(values):
-        return list(dict.fromkeys(values))
-
-    for yr in sorted({r["period"] for r in rows}):
-        now = [r for r in rows if r["period"] == yr]
-        for name, _, new in log:
-            for r in now:
-                if r["name"] is not None and r["name"] == name:
-                    r["key"] = new
-        claims = ordered((r["key"], r["id"], r["name"]) for r in now if r["id"])
-        keys = [c[0] for c in claims]
-        for key in ordered(k for k in keys if k is not None and keys.count(k) > 1):
-            entries = sorted((c for c in claims if c[0] == key), key=lambda c: c[1])
-            past = {r["id"] for r in rows if r["period"] < yr and r["key"] == key and r["id"] is not None}
-            keeper = next((c[1] for c in entries if c[1] in past), None) if past else entries[0][1]
-            if keeper is None:
-                continue
-            start = free(key)
-            for j, (_, iid, name) in enumerate(c for c in entries if c[1] != keeper):
-                new = f"{key}.{start + j}"
-                for r in now:
-                    if r["id"] == iid:
-                        r["key"] = new
-                log.append((name, key, new))
-        pairs = ordered((r["key"], r["name"]) for r in now)
-        keys = [p[0] for p in pairs]
-        for key in ordered(k for k in keys if k is not None and keys.count(k) > 1):
-            known = {r["name"] for r in rows if r["period"] < yr and r["key"] == key} | {e[0] for e in log if e[1] == key}
-            fresh = [n for n in ordered(r["name"] for r in now if r["key"] == key) if n not in known]
-            start = free(key)
-            for j, name in enumerate(fresh):
-                new = f"{key}.{start + j}"
-                log.append((name, key, new))
-                for r in now:
-                    if name is not None and r["name"] == name:
-                        r["key"] = new
-    return [r["key"] for r in rows], log
-
-
-@pytest.mark.parametrize("seed", range(3))
-def test_matches_restatement(spark, seed):
+def panel(seed, first=1991, last=1995):
     rng = random.Random(seed)
     names = [f"N{i}" for i in range(9)] + ([None] if seed % 2 else [])
-    keys = ["A", "B", "A.2", "A.2.2", "C", "B.3", None]
+    keys = ["A", "B", "A.2", "A.2.2", "C", "B.3", None] + [f"K{i}" for i in range(5)]
     rows = []
-    for yr in range(1991, 1996):
+    for yr in range(first, last + 1):
         for _ in range(rng.randint(8, 22)):
-            iid = f"I{rng.randint(0, 6)}" if yr >= 1993 and rng.random() < 0.7 else None
+            iid = rng.choice([f"I{rng.randint(0, 6)}"] * 6 + [""]) if yr >= 1993 and rng.random() < 0.7 else None
             rows.append((yr, rng.choice(keys), rng.choice(names), iid))
-    want, log = restated(rows)
-    res = resolve_keys(frame(spark, rows))
-    got = {r.row_ord: r.new_key for r in res.rows.collect()}
-    assert [got[i] for i in range(len(rows))] == want
-    assert sorted((str(r.name), r.old_key, r.new_key) for r in res.log.collect()) == sorted((str(a), b, c) for a, b, c in log)
+        rows += [(yr, f"Q{i}", f"quiet {i}", None) for i in range(4)] + [(yr, None, None, None)]
+    return rows
+
+
+def outcome(res):
+    keys = sorted((r.row_ord, str(r.new_key)) for r in res.rows.collect())
+    return keys, sorted(tuple(map(str, r)) for r in res.log.collect()), sorted(tuple(map(str, r)) for r in res.memory.history.collect())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_fold_loop_and_resumed_runs_agree(spark, seed, tmp_path):
+    df = frame(spark, panel(seed))
+    whole = outcome(resolve_keys(df))
+    assert outcome(resolve_keys(df, component_rows=0)) == whole  # every component by the loop over periods
+    assert outcome(resolve_keys(df, component_rows=40)) == whole
+    early = resolve_keys(df.where("period < 1994"))
+    early.memory.save(str(tmp_path / "memory"))
+    late = resolve_keys(df.where("period >= 1994"), Memory.load(spark, str(tmp_path / "memory")))
+    keys, log, history = outcome(late)
+    assert sorted(outcome(early)[0] + keys) == whole[0] and (log, history) == whole[1:]
+    late = resolve_keys(df.where("period >= 1994"), early.memory, component_rows=0)
+    assert outcome(late)[1:] == whole[1:]
+    with pytest.raises(ValueError, match="already"):
+        resolve_keys(df, early.memory)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_properties_of_the_log(spark, seed):
+    res = resolve_keys(frame(spark, panel(seed + 10)))
+    log = res.log.collect()
+    given = [(r.old_key, r.new_key) for r in log]
+    assert len(given) == len(set(given))  # no suffix is given twice
+    for old in {o for o, _ in given}:
+        numbers = sorted(int(n.rsplit(".", 1)[1]) for o, n in given if o == old)
+        assert numbers == list(range(2, 2 + len(numbers)))
+    assert all(r.new_key.rsplit(".", 1)[0] == r.old_key and r.year_last_used >= r.year_created for r in log)
+    quiet = [r for r in res.rows.collect() if (r.name or "").startswith("quiet")]
+    assert all(r.new_key == r.ticker for r in quiet)
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(60)]
+    label = {}
+    for a, b in links:
+        label.setdefault(a, a), label.setdefault(b, b)
+    for _ in range(len(label)):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    got = min_labels(spark.createDataFrame(links, "a long, b long"))
+    linked = {n for a, b in links if a != b for n in (a, b)}
+    assert {(r.node, r.label) for r in got.collect()} == {(n, label[n]) for n in linked} and got.count() == len(linked)
+    assert min_labels(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_keep_suffixed_keys_names_and_ids_together(spark):
+    rows = [("A", "x", None), ("A.2.3", "y", None), ("B", "y", "1"), (None, "z", "1"), ("C", "w", ""), ("D", "v", ""), (None, None, None), (None, "w", None)]
+    got = {tuple(r)[:3]: r.component for r in with_component(spark.createDataFrame(rows, "key string, name string, issuerid string")).collect()}
+    a = got["A", "x", None]
+    assert [k for k, c in got.items() if c == a] == rows[:4] and got[None, None, None] is None
+    assert got["C", "w", ""] == got[None, "w", None] != got["D", "v", ""]
