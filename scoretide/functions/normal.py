@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,3 +88,13 @@ def normal_quantile(p: Column | str) -> Column:
         .when(p > 1.0 - ACKLAM_SPLIT, -_poly(high, ACKLAM_C) / _poly(high, ACKLAM_D))
         .otherwise(_poly(r, ACKLAM_A) * q / _poly(r, ACKLAM_B))
     )
+
+
+def normal_quantile_array(p: np.ndarray) -> np.ndarray:
+    """``normal_quantile`` for arrays, by the same approximation."""
+    q = p - 0.5
+    with np.errstate(divide="ignore", invalid="ignore"):
+        low, high, r = np.sqrt(-2.0 * np.log(p)), np.sqrt(-2.0 * np.log(1.0 - p)), q * q
+        tail = lambda x: np.polyval(ACKLAM_C, x) / np.polyval(ACKLAM_D, x)
+        middle = np.polyval(ACKLAM_A, r) * q / np.polyval(ACKLAM_B, r)
+        return np.where(p < ACKLAM_SPLIT, tail(low), np.where(p > 1.0 - ACKLAM_SPLIT, -tail(high), middle))

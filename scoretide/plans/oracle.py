@@ -39,8 +39,11 @@ ANCHORS = """, anchors as (select min(name) as low, max(name) as high from (
  select name from ep group by name having count(*) = (select count(distinct period) from ep)) q)"""
 
 LINES = "lines as (select * from lineitem)"
-DRAWS = LINES + f""", draws as (select l_suppkey as idx, l_linenumber as chain, l_extendedprice as value,
- row_number() over (partition by l_suppkey, l_linenumber order by {', '.join(DRAW_ORDER)}) as iteration from lines)"""
+DRAWS = LINES + f""", dealt as (select l_suppkey, l_extendedprice,
+ row_number() over (partition by l_suppkey order by {', '.join(DRAW_ORDER)}, l_linenumber) - 1 as place,
+ count(*) over (partition by l_suppkey) as n from lines)
+, chained as (select *, case when n % 4 = 0 then 4 when n % 3 = 0 then 3 when n % 2 = 0 then 2 else 1 end as c from dealt)
+, draws as (select l_suppkey as idx, cast(place % c + 1 as int) as chain, l_extendedprice as value, place // c + 1 as iteration from chained)"""
 EP_TABLE = """ep_table as (select concat('N', cast(s_nationkey as varchar)) as ticker, s_suppkey as ep_idx,
  cast(row_number() over (partition by s_nationkey order by s_suppkey) as int) as period_idx from supplier)"""
 META = """meta as (select distinct n_name as name, e.ticker, 1990 + e.period_idx as year
@@ -356,7 +359,7 @@ def oracle() -> dict[str, str]:
             round(max(ess_bulk), 4) as max_ess_bulk, round(min(ess_tail), 4) as min_ess_tail, round(max(ess_tail), 4) as max_ess_tail,
             count(*) filter (where rhat > 1.01) as n_bad_rhat, count(*) filter (where ess_bulk < 400) as n_low_bulk,
             count(*) filter (where ess_tail < 400) as n_low_tail from conv"""),
-        "offenders": w(RHAT, "select 'theta' as param, idx, round(rhat, 4) as rhat from rhats where rhat > 1.01"),
+        "offenders": w(RHAT, "select 'theta' as param, idx, round(rhat, 4) as rhat from rhats where rhat > 1.003"),
         "health_report": w(CONV + SAMPLER[len(LINES):], """select c.*, d.*,
             round(100.0 * n_bad_rhat / n_checked, 4) as pct_bad_rhat, round(100.0 * n_low_bulk / n_checked, 4) as pct_low_bulk,
             round(100.0 * n_low_tail / n_checked, 4) as pct_low_tail,

@@ -323,16 +323,16 @@ def sampler_diagnostics(spark, sf):
 
 @query
 def rhat(spark, sf):
-    return rounded(conv.rhat(v.draws(spark, sf), ragged="cut"))
+    return rounded(conv.rhat(v.draws(spark, sf)))
 
 
 @query
 def ess(spark, sf):
-    return rounded(conv.ess(v.draws(spark, sf), ragged="cut"), 4)
+    return rounded(conv.ess(v.draws(spark, sf)), 4)
 
 
 def _conv(spark, sf):
-    return materialise(conv.convergence(v.draws(spark, sf), ragged="cut"), "convergence")
+    return materialise(conv.convergence(v.draws(spark, sf)), "convergence")
 
 
 @query
@@ -342,8 +342,8 @@ def convergence_rollup(spark, sf):
 
 @query
 def offenders(spark, sf):
-    r = conv.rhat(v.draws(spark, sf), ragged="cut")
-    return rounded(conv.offenders(r).select("param", "idx", "rhat"), 4)
+    r = conv.rhat(v.draws(spark, sf))
+    return rounded(conv.offenders(r, 1.003).select("param", "idx", "rhat"), 4)
 
 
 @query
@@ -353,7 +353,7 @@ def health_report(spark, sf):
 
 @query
 def key_convergence(spark, sf):
-    out = conv.key_convergence(v.draws(spark, sf), v.ep_table(spark, sf), ["N3", "N7"], ragged="cut")
+    out = conv.key_convergence(v.draws(spark, sf), v.ep_table(spark, sf), ["N3", "N7"])
     return rounded(out.withColumn("ess_bulk", F.round("ess_bulk", 4)))
 
 

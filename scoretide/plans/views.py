@@ -96,15 +96,21 @@ def draw_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Theta draws: iteration is the position in a total order within (parameter, chain)."""
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_suppkey", "l_linenumber", *DRAW_ORDER
-    )
-    placed = group_positions(lines, ["l_suppkey", "l_linenumber"], DRAW_ORDER, "iteration")
+    """Theta draws: a supplier's lines in a total order, dealt in turn to chains of one length.
+
+    A supplier has the most chains, four at most, that its number of lines can be shared out to evenly; so
+    every line is a draw and none is left over.
+    """
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_linenumber", *DRAW_ORDER)
+    placed = group_positions(lines, ["l_suppkey"], [*DRAW_ORDER, "l_linenumber"], "place")
+    counts = lines.groupBy("l_suppkey").agg(F.count("*").alias("n"))
+    chains = F.coalesce(*[F.when(F.col("n") % c == 0, F.lit(c)) for c in (4, 3, 2, 1)])
+    dealt = placed.join(counts, "l_suppkey").withColumn("n_chains", chains)
     # a table, as draws are in use: several passes read it
-    return materialise(placed.select(
+    return materialise(dealt.select(
         F.lit("theta").alias("param"), F.col("l_suppkey").alias("idx"),
-        F.col("l_linenumber").alias("chain"), "iteration", F.col("l_extendedprice").alias("value"),
+        ((F.col("place") - 1) % F.col("n_chains") + 1).cast("int").alias("chain"),
+        F.floor((F.col("place") - 1) / F.col("n_chains") + 1).alias("iteration"), F.col("l_extendedprice").alias("value"),
     ), "draws")
 
 
