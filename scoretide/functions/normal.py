@@ -98,3 +98,28 @@ def normal_quantile_array(p: np.ndarray) -> np.ndarray:
         tail = lambda x: np.polyval(ACKLAM_C, x) / np.polyval(ACKLAM_D, x)
         middle = np.polyval(ACKLAM_A, r) * q / np.polyval(ACKLAM_B, r)
         return np.where(p < ACKLAM_SPLIT, tail(low), np.where(p > 1.0 - ACKLAM_SPLIT, -tail(high), middle))
+
+
+def _mills_array(z: np.ndarray) -> np.ndarray:
+    fraction = z + 0.65
+    for k in (4.0, 3.0, 2.0, 1.0):
+        fraction = z + k / fraction
+    return np.where(z < HART_SPLIT, np.polyval(HART_NUM, z) / np.polyval(HART_DEN, z), 1.0 / (fraction * SQRT_2PI))
+
+
+def normal_cdf_array(x: np.ndarray) -> np.ndarray:
+    z = np.abs(x)
+    tail = np.exp(-z * z / 2.0) * _mills_array(z)
+    return np.where(x > 0, 1.0 - tail, tail)
+
+
+def inverse_mills_array(x: np.ndarray) -> np.ndarray:
+    z = np.abs(x)
+    mills, density = _mills_array(z), np.exp(-z * z / 2.0)
+    return np.where(x > 0, density * 0.3989422804014327 / (1.0 - density * mills), 0.3989422804014327 / mills)
+
+
+def normal_log_cdf_array(x: np.ndarray) -> np.ndarray:
+    z = np.abs(x)
+    mills = _mills_array(z)
+    return np.where(x > 0, np.log1p(-np.exp(-z * z / 2.0) * mills), np.log(mills) - z * z / 2.0)

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scoretide.functions.normal import normal_cdf, normal_log_cdf
+from scoretide.functions.normal import normal_cdf, normal_log_cdf, normal_log_cdf_array
 from scoretide.functions.values import is_concern
 from scoretide.operators.panel import with_runs
 from scoretide.operators.spread import bounded_broadcast
+from scoretide.session import ship_code
 
 LOG_2PI = 1.8378770664093453
 ALPHA_SD, BETA_SD = 5.0, 2.5
@@ -102,6 +107,72 @@ def log_prior(z: DataFrame, items: DataFrame, raw_scales: DataFrame, sigma_globa
     )
 
 
+def log_prior_draws(z: DataFrame, items: DataFrame, raw_scales: DataFrame, hyper: DataFrame) -> DataFrame:
+    """Log prior density per (chain, iteration) and block.
+
+    All four tables are keyed by chain and iteration. ``z``: innovations; ``items``: alpha, beta; ``raw_scales``: raw;
+    ``hyper``: sigma_global, sigma_init. Partial sums of squares combine before the shuffle.
+    """
+    log2 = F.log(F.lit(2.0))
+
+    def block(df: DataFrame, columns: list[str], sd: float, half: bool, name: str) -> DataFrame:
+        n, squares = sum(F.count(c) for c in columns), sum(F.sum(F.col(c) * F.col(c)) for c in columns)
+        sums = df.groupBy("chain", "iteration").agg(n.alias("n"), squares.alias("ss"))
+        lp = _normal_sum(F.col("n"), F.col("ss"), sd) + (F.col("n") * log2 if half else F.lit(0.0))
+        return sums.select("chain", "iteration", F.lit(name).alias("block"), "n", lp.alias("log_prior"))
+
+    return (
+        block(z, ["z"], 1.0, False, "innovations")
+        .unionByName(block(items, ["alpha"], ALPHA_SD, False, "alpha"))
+        .unionByName(block(items, ["beta"], BETA_SD, False, "beta"))
+        .unionByName(block(raw_scales, ["raw"], 1.0, True, "firm_scales"))
+        .unionByName(block(hyper, ["sigma_global", "sigma_init"], 1.0, True, "hyper_scales"))
+    )
+
+
+def _sum_log_lik(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per chain and chunk of draws: observations, and the sum of their log-likelihoods for each draw."""
+    found: dict[tuple, list] = {}
+    for b in batches:
+        width = np.diff(b.column("theta").offsets.to_numpy())
+        chain, chunk, y = (b.column(c).to_numpy() for c in ("chain", "chunk", "y"))
+        for key in set(zip(chain.tolist(), chunk.tolist(), width.tolist())):
+            rows = np.flatnonzero((chain == key[0]) & (chunk == key[1]) & (width == key[2]))
+            theta, alpha, beta = (b.column(c).take(pa.array(rows)).flatten().to_numpy().reshape(len(rows), -1) for c in ("theta", "alpha", "beta"))
+            mu = beta * theta - alpha
+            held = found.setdefault(key, [0, np.zeros(key[2])])
+            held[0] += len(rows)
+            held[1] += normal_log_cdf_array(np.where(y[rows, None] == 1, mu, -mu)).sum(axis=0)
+    for (chain, chunk, _), (n, sums) in found.items():
+        yield pa.RecordBatch.from_arrays([pa.array([chain], pa.int32()), pa.array([chunk], pa.int64()), pa.array([n], pa.int64()), pa.array([sums.tolist()], pa.list_(pa.float64()))],
+                                         names=["chain", "chunk", "n_obs", "sums"])
+
+
+def log_likelihood_draws(obs: DataFrame, theta_draws: DataFrame, item_draws: DataFrame, key: str = "name", per_chunk: int = 256) -> DataFrame:
+    """Log-likelihood of all observations per (chain, iteration).
+
+    ``theta_draws``: key, period, chain, iteration, theta; ``item_draws``: indicator, period, chain, iteration, alpha, beta; iterations
+    count from 1 without gaps, the same ones for all parameters. Draws travel in arrays of ``per_chunk``, so an observation meets
+    draws / per_chunk rows, and a task gives back one row per chain and chunk.
+    """
+    ship_code(obs.sparkSession)
+
+    def packed(draws: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+        cut = draws.withColumn("chunk", F.floor((F.col("iteration") - 1) / per_chunk)).groupBy(*keys, "chain", "chunk").agg(
+            F.sort_array(F.collect_list(F.struct("iteration", *columns))).alias("_d"))
+        return cut.select(*keys, "chain", "chunk", *[F.col(f"_d.{c}").alias(c) for c in columns])
+
+    theta, items = packed(theta_draws, [key, "period"], ["theta"]), packed(item_draws, ["indicator", "period"], ["alpha", "beta"])
+    met = obs.join(theta, [key, "period"]).join(bounded_broadcast(items), ["indicator", "period", "chain", "chunk"])
+    same = (F.size("theta") == F.size("alpha"))
+    theta = F.when(same, F.col("theta")).otherwise(F.raise_error(F.lit("scores and items have different draws")))
+    rows = met.select(F.col("chain").cast("int").alias("chain"), F.col("chunk").cast("long").alias("chunk"), "y", theta.alias("theta"), "alpha", "beta")
+    sums = rows.mapInArrow(_sum_log_lik, "chain int, chunk long, n_obs long, sums array<double>")
+    cells = sums.select("chain", "chunk", "n_obs", F.posexplode("sums").alias("place", "s"))
+    return cells.groupBy("chain", (F.col("chunk") * per_chunk + F.col("place") + 1).alias("iteration")).agg(
+        F.sum("n_obs").alias("n_obs"), F.sum("s").alias("log_lik"))
+
+
 def pack_draws(draws: DataFrame, keys: list[str], columns: list[str], per_chunk: int) -> DataFrame:
     """Draw values as arrays of at most ``per_chunk`` draws, in draw order."""
     packed = draws.withColumn("chunk", F.floor((F.col("draw") - 1) / per_chunk)).groupBy(*keys, "chunk").agg(

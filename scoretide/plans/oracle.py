@@ -426,6 +426,17 @@ def oracle() -> dict[str, str]:
              from lines group by 1, 2, 3)
             select r.chain, cast(r.iteration as int) as iteration, r.key, round(sigma_global * raw, 6) as sigma
             from r join g on r.chain = g.chain and r.iteration = g.iteration"""),
+        "log_likelihood_draws": w(POINTWISE.replace("[1, 2, 3, 4]", "[1, 2, 3, 4, 5, 6, 7, 8, 9, 10]").replace("d.draw - 2.5", "d.draw - 5.5"),
+            """select cast(draw % 2 + 1 as int) as chain, cast((draw + 1) // 2 as bigint) as iteration, count(*) as n_obs,
+            round(sum(log_lik), 4) as log_lik from ll group by draw"""),
+        "log_prior_draws": w(LINES, """, d as (select cast(l_linenumber as int) as chain, cast(year(l_shipdate) as int) as iteration, l_quantity / 25 - 1 as z,
+            l_quantity / 10 - 2.5 as alpha, 20 * l_discount - 1 as beta, 10 * l_tax as raw from lines)
+            , h as (select chain, iteration, avg(raw) as g, max(raw) as i from d group by 1, 2), blocks as (
+            select chain, iteration, 'innovations' as block, z as v, 1.0 as sd, 0 as half from d union all
+            select chain, iteration, 'alpha', alpha, 5.0, 0 from d union all select chain, iteration, 'beta', beta, 2.5, 0 from d union all
+            select chain, iteration, 'firm_scales', raw, 1.0, 1 from d union all select chain, iteration, 'hyper_scales', unnest([g, i]), 1.0, 1 from h)
+            select chain, iteration, block, count(*) as n,
+            round(sum(-0.5 * (v / sd) * (v / sd) - ln(sd) - 0.5 * ln(2 * pi()) + half * ln(2)), 3) as log_prior from blocks group by 1, 2, 3"""),
         "log_prior": w(STEPS + ITEMS, """, blocks as (
             select 'innovations' as block, z as v, 1.0 as sd, 0 as half from steps where pin is null union all
             select 'alpha', alpha, 5.0, 0 from items union all select 'beta', beta, 2.5, 0 from items union all
@@ -441,6 +452,10 @@ def oracle() -> dict[str, str]:
             count(*) as n_items from obs group by name, period"""),
         "item_labels": w(OBS, """select distinct concat(indicator, '_', cast(period as varchar)) as item_col,
             contains(indicator, '_con_') as is_concern from obs"""),
+        "chain_wide": w(LINES, """, cells as (select max(l_quantity) as q, row_number() over (order by l_orderkey, l_linenumber) as idx
+             from lines group by l_orderkey, l_linenumber)
+            select cast(c as int) as chain, cast(i as bigint) as iteration, 'theta' as param, idx, cast(q + c + i / 4 as double) as value
+            from cells, (select unnest([1, 2]) as c), (select unnest([1, 2, 3]) as i) where idx between 20001 and 40000"""),
         "chain_text": w(CHAIN_TEXT, " union all ".join(
             f"select chain, iteration, '{p}' as param, {i} as idx, {c} as value from numbered" for p, i, c in CHAIN_CELLS)),
         "chain_parameters": w(CHAIN_TEXT, """select param, count(*) as n_params, min(idx) as min_idx, max(idx) as max_idx from (values """

@@ -505,6 +505,29 @@ def log_prior(spark, sf):
     return rounded(model.log_prior(steps, v.items(spark, sf), scales, 0.7, 0.5), 4)
 
 
+def _by_chain(draws):
+    """The numbered draws of the views as two chains."""
+    number = F.col("draw")
+    return draws.select("*", (number % 2 + 1).alias("chain"), F.floor((number + 1) / 2).alias("iteration")).drop("draw")
+
+
+@query
+def log_likelihood_draws(spark, sf):
+    out = model.log_likelihood_draws(
+        v.obs(spark, sf), _by_chain(v.theta_draws(spark, sf, 10)), _by_chain(v.item_param_draws(spark, sf, 10)), per_chunk=3)
+    return rounded(out, 4)
+
+
+@query
+def log_prior_draws(spark, sf):
+    """Prior per draw: line numbers are chains and ship years iterations; quantities, discounts and taxes the parameters."""
+    draws = v.table(spark, sf, "lineitem").select(
+        F.col("l_linenumber").cast("int").alias("chain"), F.year("l_shipdate").alias("iteration"), (F.col("l_quantity") / 25 - 1).alias("z"),
+        (F.col("l_quantity") / 10 - 2.5).alias("alpha"), (20 * F.col("l_discount") - 1).alias("beta"), (10 * F.col("l_tax")).alias("raw"))
+    hyper = draws.groupBy("chain", "iteration").agg(F.avg("raw").alias("sigma_global"), F.max("raw").alias("sigma_init"))
+    return rounded(model.log_prior_draws(draws, draws, draws, hyper), 3)
+
+
 @query
 def waic(spark, sf):
     pw = model.pointwise_log_lik(
@@ -534,40 +557,34 @@ def item_labels(spark, sf):
 
 
 def _panel_and_anchors(spark, sf):
-    o = materialise(v.obs(spark, sf), "obs")
+    o = materialise(v.response_obs(spark, sf), "obs")
     return o, v.anchors(o)
 
 
 @query
 def fit_em(spark, sf):
-    got = fit.fit_em(*_panel_and_anchors(spark, sf), max_rounds=8)
-    got.data.close()
-    return rounded(got.scores()).withColumn("converged", F.lit(got.converged))
+    return rounded(fit.fit_em(*_panel_and_anchors(spark, sf)).require_converged().scores())
 
 
 @query
 def fit_em_items(spark, sf):
-    got = fit.fit_em(*_panel_and_anchors(spark, sf), max_rounds=4)
-    got.data.close()
-    return rounded(got.item_params()).withColumn("converged", F.lit(got.converged))
+    return rounded(fit.fit_em(*_panel_and_anchors(spark, sf)).require_converged().item_params())
 
 
 @query
 def fit_em_static(spark, sf):
-    got = fit.fit_em(*_panel_and_anchors(spark, sf), max_rounds=4, dynamic=False)
-    got.data.close()
-    return rounded(got.scores()).withColumn("converged", F.lit(got.converged))
+    return rounded(fit.fit_em(*_panel_and_anchors(spark, sf), dynamic=False).require_converged().scores())
 
 
 @query
 def fit_gibbs(spark, sf):
-    return fit.fit_gibbs(*_panel_and_anchors(spark, sf), chains=2, iterations=3, burn=1).draws
+    return fit.fit_gibbs(*_panel_and_anchors(spark, sf)).draws
 
 
 @query
 def gibbs_convergence(spark, sf):
     """R-hat and effective sizes of fitted chains, by parameter."""
-    got = fit.fit_gibbs(*_panel_and_anchors(spark, sf), chains=2, iterations=6, burn=1)
+    got = fit.fit_gibbs(*_panel_and_anchors(spark, sf))
     return rounded(conv.convergence(materialise(got.draws, "gibbs-draws")))
 
 
@@ -575,9 +592,7 @@ def gibbs_convergence(spark, sf):
 def fit_to_scores(spark, sf):
     """Fit, draw from the fit, summarise: the whole way from observations to a score table."""
     o, anchors = _panel_and_anchors(spark, sf)
-    got = fit.fit_em(o, anchors, max_rounds=4)
-    got.data.close()
-    draws = materialise(fit.posterior_draws(got, 8), "fit-draws")
+    draws = materialise(fit.posterior_draws(fit.fit_em(o, anchors).require_converged(), 100), "fit-draws")
     ep = panel.dense_index(panel.entity_periods(o), ["name", "period"], "ep_idx")
     base = panel.period_base(o)
     table = panel.with_period_index(ep, base).select(F.col("name").alias("ticker"), "period_idx", "ep_idx")
@@ -628,6 +643,26 @@ def chain_text(spark, sf):
     return chain_files.read_draws(spark, path)
 
 
+@query
+def chain_wide(spark, sf):
+    """Chain files with a column per order line, more than Spark's CSV reader takes; of the stored draws an index range of one
+    parameter is read."""
+    lines = v.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
+    numbered = panel.dense_index(lines, ["l_orderkey", "l_linenumber"], "idx")
+    cells = F.sort_array(F.collect_list(F.struct("idx", "q")))
+    whole = numbered.agg(cells.alias("c")).select(F.transform("c", lambda x: F.concat(F.lit("theta."), x["idx"].cast("string"))).alias("names"), F.col("c.q").alias("q"))
+    number = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("ord")
+    rows = whole.select("names", "q", number, F.explode(F.array(F.lit(1), F.lit(2))).alias("chain"))
+    values = F.transform("q", lambda x: (x + F.col("chain") + F.col("ord") / 4).cast("string"))
+    text = rows.select("chain", "ord", F.when(F.col("ord") == 0, F.concat_ws(",", F.lit("lp__"), F.concat_ws(",", "names"))).otherwise(
+        F.concat_ws(",", F.col("ord").cast("string"), F.concat_ws(",", values))).alias("value"))
+    path = fresh_path(spark, "wide-text")
+    text.repartition("chain").sortWithinPartitions("chain", "ord").select("chain", "value").write.partitionBy("chain").text(path)
+    stored = fresh_path(spark, "wide-draws")
+    chain_files.write_draws(chain_files.read_chains(spark, path + "/*/*.txt"), stored)
+    return chain_files.read_draws(spark, stored, params=["theta"], first=20_001, last=40_000)
+
+
 @query
 def chain_parameters(spark, sf):
     draws = chain_files.read_chains(spark, _chain_lines(spark, sf) + "/*/*.txt")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scoretide.functions.normal import normal_cdf
 from scoretide.functions.values import clamp_binary, is_concern
 from scoretide.operators import clean
 from scoretide.operators.spread import group_positions
@@ -170,6 +171,18 @@ def item_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def response_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations for the fits: each of a panel's responses drawn from the model itself, with the fixed scores and three times the
+    fixed discriminations, by a number in (0, 1) that hangs on the observation alone. The orders' own flags hold no
+    signal that scores could follow."""
+    mu = 3 * F.col("beta") * F.col("theta") - F.col("alpha")
+    bits = F.shiftrightunsigned(F.xxhash64("name", "period", "indicator"), 11).cast("double")
+    scored = obs(spark, sf_dir).select("name", "period", "indicator").join(theta(spark, sf_dir), ["name", "period"])
+    scored = scored.join(F.broadcast(items(spark, sf_dir)), ["indicator", "period"])  # one row per indicator and year
+    y = ((bits + 0.5) / float(2**53) < normal_cdf(mu)).cast("int")
+    return scored.select("name", "period", "indicator", y.alias("y"))
+
+
 def anchors(panel: DataFrame) -> tuple[str, str]:
     """The first and last name that are present in every period."""
     n_periods = panel.select("period").distinct().count()

@@ -80,6 +80,15 @@ def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
+    """``df`` as a table in the shared folder, in buckets of ``key``: joins on it leave its rows where they are, in every job
+    and after the loss of any executor."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 class Parts:
     """A table that grows by whole parts in the shared folder and is read back in one scan."""
 
