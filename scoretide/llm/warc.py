@@ -206,15 +206,21 @@ def read_captures(requests: DataFrame, index: Index, id_col: str = "page_id", ur
     """The records of the requested pages: id, ``record_type``, ``refers_to``, ``payload_digest``, ``payload_bytes``, ``payload``.
 
     Requests are deduplicated, looked up in the order of the index, and the records read in the order of the archives,
-    each by one range read. The digest of a response is checked against its payload. A revisit has no payload of its own;
+    each by one range read, in tasks of about READ_BYTES. The digest of a response is checked against its payload. A revisit has no payload of its own;
     its HTTP header has the length. Pages that the index does not have give no row.
     """
+    folder = index.folder
+
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([url_key(u) for u in batch.column("url").to_pylist()], pa.string())], names=["id", "key"])
 
+    spark = requests.sparkSession
+    shards = spark.sparkContext.broadcast(index.shards)  # one entry per index file
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, lasts = Reader(index.folder), [s[1] for s in index.shards]
+        index = Index(folder, shards.value)
+        reader, lasts = Reader(folder), [s[1] for s in index.shards]
         for batch in batches:
             found = [x for i, k in zip(batch.column("id").to_pylist(), batch.column("key").to_pylist()) for x in lookup(index, reader, lasts, _place(k, i))]
             columns = list(zip(*found)) or [(), (), ()]
@@ -243,10 +249,16 @@ def read_captures(requests: DataFrame, index: Index, id_col: str = "page_id", ur
     rows = requests.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url")).distinct()
     keyed = over_batches(rows, keys, "id long, key string").distinct()
     places = over_batches(keyed.repartitionByRange("key", "id").sortWithinPartitions("key", "id"), find, "file string, offset long, length long")
-    records = places.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    # pointers are narrow and what they point to is not: the bytes of the records, not of the pointers, say into how many tasks they go
+    places = stored(places, "places")
+    n, size = places.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    tasks = max(1, -(-size // READ_BYTES), min(spark.sparkContext.defaultParallelism, n // 1000))
+    records = places.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return over_batches(records, fetch, READ).withColumnRenamed("id", id_col)
 
 
+# Bytes of compressed records that one task reads.
+READ_BYTES = 16 << 20
 READ = "id long, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
 
 
