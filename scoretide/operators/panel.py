@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scoretide.operators.spread import group_positions
+from scoretide.operators.spread import group_positions, nested_index
 
 # A wide table's column names live on the driver; more items or periods than this are refused.
 MAX_WIDE_COLUMNS = 10_000
@@ -138,9 +138,8 @@ def item_table(obs: DataFrame) -> DataFrame:
 
 
 def entity_period_table(ep: DataFrame, key: str = "name") -> DataFrame:
-    """(key, period) with its dense id and its key's dense id."""
-    numbered = dense_index(ep, [key, "period"], "ep_idx")
-    return numbered.join(entity_table(numbered, key), key, "left")
+    """(key, period) with its dense id and its key's dense id, both from one sort."""
+    return nested_index(ep, key, ["period"], "ep_idx", "entity_idx")
 
 
 def index_observations(obs: DataFrame, ep_table: DataFrame, items: DataFrame, key: str = "name") -> DataFrame:

@@ -11,11 +11,17 @@ Callers that have measured already pass ``hot`` and spare the second count.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from scoretide.session import materialise
+from scoretide.session import materialise, ship_code
 
 # Largest group that one task may hold; a real chain set has about 10,000
 # draws per parameter, so ordinary inputs stay below it.
@@ -113,6 +119,47 @@ def group_positions(
     return joined.select(*df.columns, pos.cast("long").alias(out))
 
 
+def _numbered(key: str):
+    """Adds to the sorted rows of a task its number, their place from 1, and how many different keys there were so far."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, rows, keys, last = TaskContext.get().partitionId(), 0, 0, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            codes = b.column(key).dictionary_encode("encode").indices.to_numpy()
+            new = np.concatenate([[rows == 0 or b.column(key)[0].as_py() != last], codes[1:] != codes[:-1]])
+            n, last = b.num_rows, b.column(key)[b.num_rows - 1].as_py()
+            own = [np.full(n, part, dtype=np.int32), rows + np.arange(1, n + 1), keys + np.cumsum(new)]
+            rows, keys = rows + n, int(own[2][-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, own)], names=[*b.schema.names, "_part", "_row", "_key"])
+
+    return run
+
+
+def nested_index(df: DataFrame, key: str, order: list[str], row_out: str, key_out: str) -> DataFrame:
+    """Dense ids from 1 of the rows by (key, order) and of the keys themselves, from one range sort.
+
+    A task numbers its range in a single pass; ranges then learn how many rows and keys came before them, where a key that goes
+    on from one range to the next counts once. One row per range is all that is gathered for that.
+    """
+    spark = df.sparkSession
+    ship_code(spark)
+    base = materialise(df, "index-in")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), base.count() // PART_ROWS + 1)
+    schema = T.StructType([*base.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_row", T.LongType()), T.StructField("_key", T.LongType())])
+    cut = base.repartitionByRange(parts, key, *order).sortWithinPartitions(key, *order)
+    cut = materialise(cut.mapInArrow(_numbered(key), schema), "index")
+    ranges = cut.groupBy("_part").agg(F.count("*").alias("n"), F.max("_key").alias("k"), F.min_by(key, "_row").alias("first"), F.max_by(key, "_row").alias("last"))
+    line = Window.partitionBy(F.lit(0)).orderBy("_part")
+    before = line.rowsBetween(Window.unboundedPreceding, -1)
+    goes_on = F.lag("_part").over(line).isNotNull() & F.lag("last").over(line).eqNullSafe(F.col("first"))
+    ranges = ranges.withColumn("on", goes_on.cast("long")).select(
+        "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_rows"),
+        (F.coalesce(F.sum("k").over(before), F.lit(0)) - F.sum("on").over(line)).alias("_keys"))
+    return cut.join(F.broadcast(ranges), "_part").select(
+        *df.columns, (F.col("_row") + F.col("_rows")).alias(row_out), (F.col("_key") + F.col("_keys")).alias(key_out))
+
+
 def running_total(
     df: DataFrame, keys: list[str], value: str, weight: str, out: str = "cum", hot: bool | None = None
 ) -> DataFrame:

@@ -70,3 +70,19 @@ def test_is_hot(hot):
 def test_plans_keep_big_tables_out_of_one_task(hot):
     plan = sp.group_positions(hot, [], ["i"], "n")._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number" not in plan.lower()
+
+
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_nested_index(spark, parts):
+    rng = np.random.default_rng(4)
+    rows = sorted({(None if k == 3 else f"k{k:02d}", int(p)) for k, p in zip(rng.integers(0, 12, 300), rng.integers(0, 40, 300))}, key=lambda r: (r[0] or "", r[1]))
+    df = spark.createDataFrame(rows[::-1], "key string, period int").repartition(3)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = sorted((r.row, r.key, r.period, r.no) for r in sp.nested_index(df, "key", ["period"], "row", "no").collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    names = list(dict.fromkeys(k for k, _ in rows))
+    assert got == [(i, k, p, names.index(k) + 1) for i, (k, p) in enumerate(rows, 1)]
+    assert sp.nested_index(df.limit(0), "key", ["period"], "row", "no").count() == 0
