@@ -227,8 +227,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Every window is led by its phrase with the least hash, so equal windows have equal leading phrases, and a document is
     a row of blocks of windows with one phrase. Phrases that lead twice or more are confirmed as recurring. Documents are
     hashed into shards; each shard compiles an Aho-Corasick automaton of the recurring phrases in it, over word numbers,
-    and streams its documents through it, which locates every occurrence by full comparison. Blocks that recur as a whole
-    are removed at once. Windows of the others count by a 96-bit hash of their words, against one of each kind of
+    and streams its documents through it, which confirms the places that the phrases' hashes gave. Blocks that recur as a whole, by
+    a 64-bit hash of their words, are removed at once. Windows of the others count by a 96-bit hash of their words, against one of each kind of
     block with the same phrase, and only their documents travel a second time.
 
     NULL texts and texts of fewer than ``window`` words keep all words. NULL ids and repeated rows are documents of their own,
