@@ -26,6 +26,8 @@ SHARD_BYTES = 2_000_000
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _U = np.uint64
 
+CHANGED = "the documents gave other rows or partitions when they were read again; store them first"
+
 
 class Powers:
     """Powers of a base and of its inverse modulo 2**64, as far as asked for."""
@@ -67,6 +69,10 @@ class Words:
             known.update(zip(new, range(n, n + len(new))))
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
+    def hashed(self, words: list[bytes]) -> np.ndarray:
+        ids = self(words)  # first, as it may replace the hashes by a longer array
+        return self.hashes[ids]
+
 
 class Sums:
     """Hashes of any spans of one sequence of word hashes, from running sums."""
@@ -80,43 +86,77 @@ class Sums:
         return mix((self.sums[start + size] - self.sums[start]) * self.up[start])
 
 
+def leaders(values: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least of each ``width`` consecutive values, the first of equals."""
+    at, span = np.arange(len(values)), 1
+
+    def meet(at: np.ndarray, step: int) -> np.ndarray:
+        left, right = at[: len(at) - step], at[step:]
+        return np.where(values[left] <= values[right], left, right)
+
+    while 2 * span <= width:
+        at, span = meet(at, span), 2 * span
+    return meet(at, width - span)
+
+
 class Blocks:
     """The windows of a document by their leading phrase.
 
     A window's phrase is the one with the least hash of all phrases in it, the first of equals. Equal windows have equal
     phrases at equal places, so a window can only recur where its phrase does. A block is a run of windows with one
-    phrase occurrence: ``at`` is the phrase's place, ``first`` and ``last`` the windows' first words, ``phrase`` and
-    ``body`` hashes of the phrase and of all words of the block with its layout.
+    phrase occurrence: ``at`` is the phrase's place, ``phrase`` and ``tag`` 96 bits of a hash of its words, ``layout`` the
+    phrase's place in the block and the number of windows, and ``body`` a hash of all words of the block.
     """
 
     def __init__(self, hashes: np.ndarray, window: int, phrase: int) -> None:
-        n = len(hashes) - window + 1
-        self.at = self.first = self.last = np.zeros(0, np.int64)
+        self.at = self.layout = np.zeros(0, np.int32)
         self.phrase = self.body = np.zeros(0, _U)
-        if n < 1:
+        self.tag = np.zeros(0, np.int32)
+        if len(hashes) < window:
             return
         sums = Sums(hashes)
         values = sums.spans(np.arange(len(hashes) - phrase + 1), phrase)
-        at = np.arange(n) + np.lib.stride_tricks.sliding_window_view(values, window - phrase + 1).argmin(axis=1)
+        at = leaders(values, window - phrase + 1)
         cut = np.flatnonzero(np.diff(at)) + 1
-        self.first, self.last = np.concatenate([[0], cut]), np.concatenate([cut, [n]]) - 1
-        self.at = at[self.first]
-        self.phrase = values[self.at]
-        layout = ((self.last - self.first) * window + self.at - self.first).astype(_U)
-        self.body = mix(sums.spans(self.first, self.last - self.first + window) + mix(layout))
+        first = np.concatenate([[0], cut])
+        size = np.diff(np.concatenate([first, [len(at)]]))
+        at = at[first]
+        self.at, self.phrase, self.tag = at.astype(np.int32), values[at], tags(hashes, at, phrase)
+        self.layout = ((at - first) * (window + 1) + size).astype(np.int32)
+        self.body = sums.spans(first, size - 1 + window)
+
+
+def tags(hashes: np.ndarray, at: np.ndarray, phrase: int) -> np.ndarray:
+    return (Sums(hashes, 1).spans(at, phrase) >> _U(32)).astype(np.uint32).view(np.int32)
 
 
 def _phrases(window: int, phrase: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                number, found, shards = Words(), [], []
-                for text, shard in zip(part.column("text").to_pylist(), part.column("shard").to_pylist()):
-                    ids = number(text.encode().split())
-                    found.append(Blocks(number.hashes[ids], window, phrase))
-                    shards.append(np.full(len(found[-1].at), shard, np.int64))
-                columns = np.concatenate([x.phrase for x in found]), np.concatenate([x.body for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns] + [pa.array(np.concatenate(shards))], names=["phrase", "body", "shard"])
+                number = Words()
+                found = [Blocks(number.hashed(text.encode().split()), window, phrase) for text in part.column("text").to_pylist()]
+                phrases, bodies = (np.concatenate([getattr(x, c) for x in found]).view(np.int64) for c in ("phrase", "body"))
+                tag, at, layout = (np.concatenate([getattr(x, c) for x in found]) for c in ("tag", "at", "layout"))
+                place = np.repeat(part.column("place").to_numpy(), [len(x.at) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (phrases, tag, bodies, layout, place, at)], names=["phrase", "tag", "body", "layout", "place", "at"])
+
+    return work
+
+
+def _spell(phrase: int):
+    """The words of the phrases that a document is to give, each checked against its hash."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number = Words()
+            for text, asked in zip(batch.column("text").to_pylist(), batch.column("asked")):
+                words, values = text.encode().split(), asked.values
+                at, phrases, tag = (values.field(c).to_numpy() for c in ("at", "phrase", "tag"))
+                hashes = number.hashed(words)
+                if len(words) < at.max() + phrase or (Sums(hashes).spans(at, phrase).view(np.int64) != phrases).any() or (tags(hashes, at, phrase) != tag).any():
+                    raise ValueError(CHANGED)
+                said = [b" ".join(words[k : k + phrase]).decode() for k in at.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(phrases), pa.array(tag), pa.array(said, pa.string())], names=["phrase", "tag", "words"])
 
     return work
 
@@ -134,62 +174,92 @@ def _cover(n: int, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return np.cumsum(edges[:n]) > 0
 
 
-def _locate(window: int, phrase: int, keep_text: bool):
-    """Per shard: compile the automaton of its recurring phrases and stream its documents through it.
+class Dictionary:
+    """The recurring phrases of a shard as an automaton over word numbers, and the kinds of blocks known around each.
 
-    ``recurring`` has the shard's blocks with such a phrase: ``whole`` where the block itself recurs, and ``speaks`` where
-    its windows must be compared with those of other blocks, once for all blocks like it.
+    ``table`` has a row per kind: the phrase in ``words``, ``layout`` and ``body`` of the block, ``whole`` where it recurs
+    as it is, ``speaks`` where its windows must be compared with those of other kinds, once for all blocks of the kind, and
+    ``n``, how many such blocks the shard has by the phrases' hashes.
     """
-    def work(docs: pa.Table, recurring: pa.Table) -> pa.Table:
-        number, rows = Words(), []
-        columns = {c: recurring.column(c).to_numpy() for c in ("phrase", "body", "whole", "speaks")}
-        phrases, bodies = (columns[c].astype(np.int64).view(_U) for c in ("phrase", "body"))
-        order = np.argsort(bodies)
-        phrases, bodies, whole, speaks = phrases[order], bodies[order], columns["whole"].astype(bool)[order], columns["speaks"].astype(bool)[order]
 
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+    def __init__(self, table: pa.Table, number: Words, window: int, phrase: int) -> None:
+        known: dict[str, int] = {}
+        of = np.fromiter((known.setdefault(w, len(known)) for w in table.column("words").to_pylist()), np.int64, table.num_rows)
+        self.window, self.phrase = window, phrase
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for k, key in enumerate(number(" ".join(known).encode().split()).reshape(-1, phrase).tolist()):
+            self.automaton.add_word(tuple(key), k)
+        if known:
+            self.automaton.make_automaton()
+        layout, body = table.column("layout").to_numpy().astype(np.int64), table.column("body").to_numpy().astype(np.int64).view(_U)
+        keys = self._key(of, layout, body)
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.hashed, self.met = table.column("n").to_numpy()[order], np.zeros(len(keys), np.int64)
+        self.whole, self.speaks = (table.column(c).to_numpy(zero_copy_only=False).astype(bool)[order] for c in ("whole", "speaks"))
+        scale = window * (window + 1) + 1
+        pairs = np.unique(of * scale + layout)
+        self.layouts, self.begin = pairs % scale, np.searchsorted(pairs // scale, np.arange(len(known) + 1))
+
+    @staticmethod
+    def _key(of: np.ndarray, layout: np.ndarray, body: np.ndarray) -> np.ndarray:
+        return mix(body + mix(of.astype(_U) * _U(BASES[0]) + layout.astype(_U)))
+
+    def blocks(self, ids: np.ndarray, sums: Sums) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Kind, first window and number of windows of every known block around the phrases that the automaton locates."""
+        nothing = np.zeros(0, np.int64)
+        if not len(self.keys) or len(ids) < self.window:
+            return nothing, nothing, nothing
+        met = np.array(list(self.automaton.iter(tuple(ids.tolist()))), np.int64).reshape(-1, 2)
+        at, of = met[:, 0] - self.phrase + 1, met[:, 1]
+        times = self.begin[of + 1] - self.begin[of]
+        layout = self.layouts[np.repeat(self.begin[of] - np.cumsum(times) + times, times) + np.arange(times.sum())]
+        at, of = np.repeat(at, times), np.repeat(of, times)
+        first, size = at - layout // (self.window + 1), layout % (self.window + 1)
+        inside = (first >= 0) & (first + size - 1 + self.window <= len(ids))
+        first, size, layout, of = first[inside], size[inside], layout[inside], of[inside]
+        keys = self._key(of, layout, sums.spans(first, size - 1 + self.window))
+        kind = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        same = self.keys[kind] == keys
+        np.add.at(self.met, kind[same], 1)
+        return kind[same], first[same], size[same]
+
+
+def _locate(window: int, phrase: int, keep_text: bool):
+    """Per shard: compile the automaton of the phrases that recur in it and stream its documents through it."""
+    def work(docs: pa.Table, recurring: pa.Table) -> pa.Table:
+        number = Words()
+        known = Dictionary(recurring, number, window, phrase)
+        out: dict[str, list] = {c: [] for c in COLUMNS}
         for text in docs.column("text").to_pylist():
             words = text.encode().split()
             ids = number(words)
-            blocks = Blocks(number.hashes[ids], window, phrase)
-            of = np.full(len(blocks.at), -1)  # the block's line in ``recurring``
-            if len(bodies) and len(of):
-                k = np.minimum(np.searchsorted(bodies, blocks.body), len(bodies) - 1)
-                of = np.where((bodies[k] == blocks.body) & (phrases[k] == blocks.phrase), k, -1)
-            key = tuple(ids.tolist())
-            for at in blocks.at[of >= 0].tolist():
-                automaton.add_word(key[at : at + phrase])
-            rows.append((words, ids, key, blocks, of))
-        if len(automaton):
-            automaton.make_automaton()
-
-        out: dict[str, list] = {c: [] for c in COLUMNS}
-        for words, ids, key, blocks, of in rows:
-            if len(automaton) and len(key) >= window:
-                located = np.zeros(len(key), bool)
-                ends = [end for end, _ in automaton.iter(key)]
-                located[np.array(ends, np.int64) - phrase + 1] = True
-                of = np.where(located[blocks.at], of, -1) if len(of) else of
-            known = np.flatnonzero(of >= 0)
-            full = known[whole[of[known]]]
-            removed = _cover(len(words), blocks.first[full], blocks.last[full] + window)
-            telling = known[speaks[of[known]]]
-            common = whole[of[telling]]  # blocks that recur speak once, at their first occurrence here
-            speaking, at = np.unique(of[telling[common]], return_index=True)
-            speaks[speaking] = False
-            telling = np.concatenate([telling[~common], telling[common][at]])
-            size = blocks.last[telling] - blocks.first[telling] + 1
-            starts = np.repeat(blocks.first[telling], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            asked = np.repeat(~whole[of[telling]], size)
+            hashes = number.hashes[ids]
+            sums = Sums(hashes)
+            kind, first, size = known.blocks(ids, sums)
+            full = known.whole[kind]
+            removed = _cover(len(words), first[full], first[full] + size[full] - 1 + window)
+            telling = np.flatnonzero(known.speaks[kind])
+            common = telling[full[telling]]  # kinds that recur speak once, at their first block here
+            speaking, at = np.unique(kind[common], return_index=True)
+            known.speaks[speaking] = False
+            telling = np.concatenate([telling[~full[telling]], common[at]])
+            length = size[telling]
+            starts = np.repeat(first[telling] - np.cumsum(length) + length, length) + np.arange(length.sum())
+            told = np.unique(2 * starts + np.repeat(full[telling], length))  # a window may lie in two known blocks
+            starts, at = np.unique(told >> 1, return_index=True)
+            asked = told[at] & 1 == 0
             gone, digest, kept = kept_words(words, removed)
             pending = bool(asked.any())
-            values = [Sums(number.hashes[ids], w).spans(starts, window) if len(starts) else np.zeros(0, _U) for w in (0, 1)]
+            values = [s.spans(starts, window) if len(starts) else np.zeros(0, _U) for s in (sums, Sums(hashes, 1) if len(starts) else sums)]
             for column, value in zip(COLUMNS, (
                 len(words), gone, digest, kept.decode() if keep_text and not pending else None, b" ".join(words).decode() if pending else None,
                 np.flatnonzero(np.diff(removed, prepend=False, append=False)).astype(np.int32) if pending else None,
                 np.where(asked, starts, -1).astype(np.int32), values[0].view(np.int64), (values[1] >> _U(32)).astype(np.uint32).view(np.int32),
             )):
                 out[column].append(value)
+        if (known.met < known.hashed).any():
+            raise ValueError(CHANGED)
         arrays = [docs.column("place").combine_chunks(), docs.column("id").combine_chunks()]
         return pa.table(arrays + [pa.array(out[c], k) for c, k in COLUMNS.items()], names=["place", "id", *COLUMNS])
 
@@ -225,29 +295,41 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     any document, judged on the input. Words are what ASCII white space separates.
 
     Every window is led by its phrase with the least hash, so equal windows have equal leading phrases, and a document is
-    a row of blocks of windows with one phrase. Phrases that lead twice or more are confirmed as recurring. Documents are
-    hashed into shards; each shard compiles an Aho-Corasick automaton of the recurring phrases in it, over word numbers,
-    and streams its documents through it, which confirms the places that the phrases' hashes gave. Blocks that recur as a whole, by
-    a 64-bit hash of their words, are removed at once. Windows of the others count by a 96-bit hash of their words, against one of each kind of
-    block with the same phrase, and only their documents travel a second time.
+    a row of blocks of windows with one phrase. Phrases that lead twice or more, by a 96-bit hash, recur; one document of
+    each spells it out in words. Documents are hashed into shards. A shard gets the words of the phrases that recur in it,
+    compiles them into an Aho-Corasick automaton over word numbers and streams its documents through it: every occurrence
+    is located there, word by word, and blocks are only looked for around located phrases. Blocks around one phrase
+    count as equal by a 64-bit hash of their words; those that recur as a whole are removed at once. Windows of the others
+    count by a 96-bit hash of their words, against one of each kind of block with the same phrase, and only their
+    documents travel again.
 
     NULL texts and texts of fewer than ``window`` words keep all words. NULL ids and repeated rows are documents of their own,
     so a row that occurs twice is removed where it has windows. An empty table gives an empty result. The input must give
-    the same rows in the same partitions when it is read again, as stored tables do.
+    the same rows in the same partitions when it is read again, as stored tables do; it is an error where the
+    automata then meet fewer blocks than were hashed.
     """
     text = text_of(f"`{text_col}`")
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD_BYTES))
     rows = docs.select(F.monotonically_increasing_id().alias("place"), F.col(f"`{id_col}`").alias("id"), text.alias("text"))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(shards)))
-
-    leads = stored(over_batches(rows.select("text", "shard"), _phrases(window, phrase), "phrase long, body long, shard long"), "phrases")
-    again = leads.groupBy("phrase").agg(F.count("*").alias("n"), (F.min("body") == F.max("body")).alias("alike")).where("n > 1").select("phrase", "alike")
-    again = stored(leads.join(again, "phrase"), "recurring")
-    kinds = again.groupBy("phrase", "body").agg(F.count("*").alias("n"), F.min("shard").alias("speaker"), F.first("alike").alias("alike"))
-    known = again.select("phrase", "body", "shard").distinct().join(kinds, ["phrase", "body"]).select(
-        "shard", "phrase", "body", (F.col("n") > 1).alias("whole"), (~F.col("alike") & ((F.col("n") == 1) | (F.col("shard") == F.col("speaker")))).alias("speaks"))
-
+    shard = F.pmod(F.xxhash64("place"), F.lit(shards)).cast("int").alias("shard")
+
+    leads = stored(over_batches(rows.select("text", "place"), _phrases(window, phrase), "phrase long, tag int, body long, layout int, place long, at int"), "phrases")
+    heads = leads.groupBy("phrase", "tag").agg(
+        F.count("*").alias("n"), (F.min("body") == F.max("body")).alias("alike"), F.min(F.struct("place", "at")).alias("head")).where("n > 1")
+    heads = stored(heads.select("phrase", "tag", "alike", "head.*"), "heads")
+    asked = heads.groupBy("place").agg(F.collect_list(F.struct("at", "phrase", "tag")).alias("asked"))
+    spelled = over_batches(rows.select("place", "text").join(asked, "place").select("text", "asked"), _spell(phrase), "phrase long, tag int, words string")
+
+    again = leads.select("phrase", "tag", "body", "layout", shard).join(heads.select("phrase", "tag", "alike"), ["phrase", "tag"])
+    again = stored(again.groupBy("phrase", "tag", "body", "layout", "alike", "shard").agg(F.count("*").alias("n")), "recurring")
+    kinds = again.groupBy("phrase", "tag", "body", "layout").agg(F.sum("n").alias("all"), F.min("shard").alias("speaker"))
+    known = again.join(kinds, ["phrase", "tag", "body", "layout"]).select(
+        "shard", "phrase", "tag", "body", "layout", "n", (F.col("all") > 1).alias("whole"),
+        (~F.col("alike") & ((F.col("all") == 1) | (F.col("shard") == F.col("speaker")))).alias("speaks"))
+    known = known.join(spelled, ["phrase", "tag"]).select("shard", "words", "layout", "body", "n", "whole", "speaks")
+
+    rows = rows.withColumn("shard", shard)
     ship_code(docs.sparkSession)
     id_field = rows.schema["id"]
     schema = T.StructType([T.StructField("place", T.LongType()), id_field, *T.StructType.fromDDL(SCHEMA).fields])

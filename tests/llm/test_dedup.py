@@ -5,15 +5,17 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scoretide.llm import exact_dedup, simhash
+from scoretide.llm import exact_dedup, passages, simhash
 from scoretide.llm.components import components, forest
 from scoretide.llm.exact_dedup import content_sort
-from scoretide.llm.passages import drop_repeats
+from scoretide.llm.passages import Blocks, Dictionary, Sums, Words, _spell, drop_repeats, leaders
 from scoretide.llm.simhash import near_duplicates
 
 
@@ -184,3 +186,68 @@ def test_repeats(spark, texts):
 def test_repeats_edges(docs, clashing, empty):
     assert drop_repeats(empty).count() == 0
     assert rows_of(drop_repeats(clashing), "doc_id", "n_removed") == rows_of(drop_repeats(docs), "doc_id", "n_removed")
+
+
+def test_repeats_over_shards(spark, monkeypatch, tmp_path):
+    """Passages in changing surroundings, over many shards: blocks that recur whole, in part, and inside longer ones."""
+    monkeypatch.setattr(passages, "SHARD_BYTES", 3_000)
+    rnd = np.random.default_rng(4)
+    shared = [[f"p{k}w{j}" for j in range(rnd.integers(30, 90))] for k in range(8)]
+    texts = []
+    for i in range(160):
+        words = []
+        for _ in range(rnd.integers(1, 5)):
+            words += [f"n{x}" for x in rnd.integers(0, 10**9, rnd.integers(0, 30))]
+            p = shared[rnd.integers(0, 8)]
+            a = rnd.integers(0, len(p) // 2)
+            words += p[a : a + rnd.integers(20, 90)] * int(rnd.integers(1, 3))
+        texts.append((i, " ".join(words)))
+    texts += [(200 + k, " ".join(rnd.choice(["a", "b"], 120))) for k in range(6)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    df.write.parquet(f"{tmp_path}/docs")
+    found = drop_repeats(spark.read.parquet(f"{tmp_path}/docs"))
+    assert rows_of(found, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_repeats(texts)
+    with pytest.raises(PythonException, match="store them first"):  # round robin deals other columns to other partitions
+        drop_repeats(df)
+
+
+def test_leaders():
+    rnd = np.random.default_rng(5)
+    for width in (1, 2, 3, 7, 24):
+        x = rnd.integers(0, 9, 60).astype(np.uint64)
+        assert leaders(x, width).tolist() == [k + int(x[k : k + width].argmin()) for k in range(len(x) - width + 1)]
+
+
+def test_blocks_come_from_the_automaton():
+    """Blocks are found where the dictionary's words occur and nowhere else, also in documents that never were hashed for phrases."""
+    number = Words()
+    text = [f"w{k % 50}" for k in range(130)]
+    ids = number([w.encode() for w in text])
+    blocks = Blocks(number.hashes[ids], 35, 12)
+    rows = [{"words": " ".join(text[at : at + 12]), "layout": int(layout), "body": int(body.astype(np.int64)), "n": 1, "whole": True, "speaks": False}
+            for at, layout, body in zip(blocks.at.tolist(), blocks.layout, blocks.body)]
+    table = pa.Table.from_pylist(rows, pa.schema([("words", pa.string()), ("layout", pa.int32()), ("body", pa.int64()), ("n", pa.int64()), ("whole", pa.bool_()), ("speaks", pa.bool_())]))
+    sums = Sums(number.hashes[ids])
+    _, first, size = Dictionary(table, number, 35, 12).blocks(ids, sums)
+    told = {int(k) for a, n in zip(first, size) for k in range(a, a + n)}
+    assert told == set(range(len(text) - 34))
+    other = number([b"w0"] + [f"x{k}".encode() for k in range(60)])
+    assert not len(Dictionary(table, number, 35, 12).blocks(other, Sums(number.hashes[other]))[0])
+    assert not len(Dictionary(table.slice(0, 0), number, 35, 12).blocks(ids, sums)[0])
+
+
+def test_spelling_finds_changed_documents(spark):
+    number = Words()
+    words = [f"w{k}".encode() for k in range(40)]
+    blocks = Blocks(number.hashed(words), 35, 12)
+    asked = [{"at": int(a), "phrase": int(p.astype(np.int64)), "tag": int(t)} for a, p, t in zip(blocks.at, blocks.phrase, blocks.tag)]
+    schema = pa.schema([("text", pa.string()), ("asked", pa.list_(pa.struct([("at", pa.int32()), ("phrase", pa.int64()), ("tag", pa.int32())])))])
+
+    def batch(text):
+        return pa.RecordBatch.from_pylist([{"text": text, "asked": asked}], schema)
+
+    said = next(_spell(12)(iter([batch(b" ".join(words).decode())]))).column("words").to_pylist()
+    assert said == [b" ".join(words[a : a + 12]).decode() for a in blocks.at]
+    for text in ("w0 w1", " ".join(f"w{k + 1}" for k in range(40))):
+        with pytest.raises(ValueError):
+            next(_spell(12)(iter([batch(text)])))
