@@ -22,6 +22,10 @@ PHRASE = 12
 # Text per shard of documents: bounds an automaton and the frame that one call works on.
 SHARD_BYTES = 2_000_000
 
+# A word is spelled for the automaton in digits of this base, each place with symbols of its own, because a node's children are
+# searched one by one.
+SYMBOLS = 64
+
 # Odd multipliers of two independent polynomial hashes modulo 2**64, and their inverses.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _U = np.uint64
@@ -175,7 +179,7 @@ def _cover(n: int, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
 
 
 class Dictionary:
-    """The recurring phrases of a shard as an automaton over word numbers, and the kinds of blocks known around each.
+    """The recurring phrases of a shard, whose first words ``number`` numbers, as an automaton over word numbers, and the kinds of blocks known around each.
 
     ``table`` has a row per kind: the phrase in ``words``, ``layout`` and ``body`` of the block, ``whole`` where it recurs
     as it is, ``speaks`` where its windows must be compared with those of other kinds, once for all blocks of the kind, and
@@ -186,9 +190,14 @@ class Dictionary:
         known: dict[str, int] = {}
         of = np.fromiter((known.setdefault(w, len(known)) for w in table.column("words").to_pylist()), np.int64, table.num_rows)
         self.window, self.phrase = window, phrase
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for k, key in enumerate(number(" ".join(known).encode().split()).reshape(-1, phrase).tolist()):
-            self.automaton.add_word(tuple(key), k)
+        ids = number(" ".join(known).encode().split())
+        self.words, self.digits = len(number.ids), 1  # every other word is one more, the same for all
+        while SYMBOLS**self.digits <= self.words:
+            self.digits += 1
+        spelled, length = self._spelled(ids), phrase * self.digits
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for k in range(len(known)):
+            self.automaton.add_word(spelled[k * length : (k + 1) * length], k)
         if known:
             self.automaton.make_automaton()
         layout, body = table.column("layout").to_numpy().astype(np.int64), table.column("body").to_numpy().astype(np.int64).view(_U)
@@ -201,6 +210,11 @@ class Dictionary:
         pairs = np.unique(of * scale + layout)
         self.layouts, self.begin = pairs % scale, np.searchsorted(pairs // scale, np.arange(len(known) + 1))
 
+    def _spelled(self, ids: np.ndarray) -> str:
+        places = np.arange(self.digits)
+        digits = np.minimum(ids, self.words)[:, None] // SYMBOLS**places % SYMBOLS + places * SYMBOLS + 1
+        return digits.astype("<u4").tobytes().decode("utf-32-le")
+
     @staticmethod
     def _key(of: np.ndarray, layout: np.ndarray, body: np.ndarray) -> np.ndarray:
         return mix(body + mix(of.astype(_U) * _U(BASES[0]) + layout.astype(_U)))
@@ -210,8 +224,8 @@ class Dictionary:
         nothing = np.zeros(0, np.int64)
         if not len(self.keys) or len(ids) < self.window:
             return nothing, nothing, nothing
-        met = np.array(list(self.automaton.iter(tuple(ids.tolist()))), np.int64).reshape(-1, 2)
-        at, of = met[:, 0] - self.phrase + 1, met[:, 1]
+        met = np.array(list(self.automaton.iter(self._spelled(ids))), np.int64).reshape(-1, 2)
+        at, of = met[:, 0] // self.digits - self.phrase + 1, met[:, 1]
         times = self.begin[of + 1] - self.begin[of]
         layout = self.layouts[np.repeat(self.begin[of] - np.cumsum(times) + times, times) + np.arange(times.sum())]
         at, of = np.repeat(at, times), np.repeat(of, times)

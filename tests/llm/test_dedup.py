@@ -228,9 +228,13 @@ def test_blocks_come_from_the_automaton():
             for at, layout, body in zip(blocks.at.tolist(), blocks.layout, blocks.body)]
     table = pa.Table.from_pylist(rows, pa.schema([("words", pa.string()), ("layout", pa.int32()), ("body", pa.int64()), ("n", pa.int64()), ("whole", pa.bool_()), ("speaks", pa.bool_())]))
     sums = Sums(number.hashes[ids])
+    assert len(number.ids) == 50  # of 64 symbols; below a dictionary whose words need two
     _, first, size = Dictionary(table, number, 35, 12).blocks(ids, sums)
     told = {int(k) for a, n in zip(first, size) for k in range(a, a + n)}
     assert told == set(range(len(text) - 34))
+    number([f"y{k}".encode() for k in range(5000)])
+    _, again, _ = Dictionary(table, number, 35, 12).blocks(ids, sums)
+    assert again.tolist() == first.tolist()
     other = number([b"w0"] + [f"x{k}".encode() for k in range(60)])
     assert not len(Dictionary(table, number, 35, 12).blocks(other, Sums(number.hashes[other]))[0])
     assert not len(Dictionary(table.slice(0, 0), number, 35, 12).blocks(ids, sums)[0])
