@@ -329,19 +329,18 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shard = F.pmod(F.xxhash64("place"), F.lit(shards)).cast("int").alias("shard")
 
     leads = stored(over_batches(rows.select("text", "place"), _phrases(window, phrase), "phrase long, tag int, body long, layout int, place long, at int"), "phrases")
-    heads = leads.groupBy("phrase", "tag").agg(
-        F.count("*").alias("n"), (F.min("body") == F.max("body")).alias("alike"), F.min(F.struct("place", "at")).alias("head")).where("n > 1")
-    heads = stored(heads.select("phrase", "tag", "alike", "head.*"), "heads")
+    heads = leads.groupBy("phrase", "tag").agg(F.count("*").alias("n"), F.min_by("at", "place").alias("at"), F.min("place").alias("place"))
+    heads = stored(heads.where("n > 1"), "heads")
     asked = heads.groupBy("place").agg(F.collect_list(F.struct("at", "phrase", "tag")).alias("asked"))
     spelled = over_batches(rows.select("place", "text").join(asked, "place").select("text", "asked"), _spell(phrase), "phrase long, tag int, words string")
 
-    again = leads.select("phrase", "tag", "body", "layout", shard).join(heads.select("phrase", "tag", "alike"), ["phrase", "tag"])
-    again = stored(again.groupBy("phrase", "tag", "body", "layout", "alike", "shard").agg(F.count("*").alias("n")), "recurring")
+    again = leads.select("phrase", "tag", "body", "layout", shard).join(
+        heads.select("phrase", "tag", F.col("n").alias("total")), ["phrase", "tag"])
+    again = stored(again.groupBy("phrase", "tag", "body", "layout", "total", "shard").agg(F.count("*").alias("n")), "recurring")
     kinds = again.groupBy("phrase", "tag", "body", "layout").agg(F.sum("n").alias("all"), F.min("shard").alias("speaker"))
-    known = again.join(kinds, ["phrase", "tag", "body", "layout"]).select(
-        "shard", "phrase", "tag", "body", "layout", "n", (F.col("all") > 1).alias("whole"),
-        (~F.col("alike") & ((F.col("all") == 1) | (F.col("shard") == F.col("speaker")))).alias("speaks"))
-    known = known.join(spelled, ["phrase", "tag"]).select("shard", "words", "layout", "body", "n", "whole", "speaks")
+    known = again.join(kinds, ["phrase", "tag", "body", "layout"]).join(spelled, ["phrase", "tag"]).select(
+        "shard", "words", "layout", "body", "n", (F.col("all") > 1).alias("whole"),
+        ((F.col("all") < F.col("total")) & ((F.col("all") == 1) | (F.col("shard") == F.col("speaker")))).alias("speaks"))
 
     rows = rows.withColumn("shard", shard)
     ship_code(docs.sparkSession)
