@@ -32,11 +32,21 @@ def without_white(text: Column) -> Column:
     return reduce(lambda kept, white: F.replace(kept, F.lit(white), F.lit("")), WHITE, text)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back, so that no lost executor makes it run again."""
+def stored_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read back, so that no lost executor makes it run again; and where it lies."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    return stored_at(df, label)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of ``stored_at`` that nothing reads any more: all that was derived from it must be stored."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def over_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:

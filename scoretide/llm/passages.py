@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scoretide.llm.common import over_batches, slices, stored, text_of
+from scoretide.llm.common import discard, over_batches, slices, stored, stored_at, text_of
 from scoretide.session import ship_code
 
 WINDOW = 35
@@ -328,7 +328,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.monotonically_increasing_id().alias("place"), F.col(f"`{id_col}`").alias("id"), text.alias("text"))
     shard = F.pmod(F.xxhash64("place"), F.lit(shards)).cast("int").alias("shard")
 
-    leads = stored(over_batches(rows.select("text", "place"), _phrases(window, phrase), "phrase long, tag int, body long, layout int, place long, at int"), "phrases")
+    leads, path = stored_at(over_batches(rows.select("text", "place"), _phrases(window, phrase), "phrase long, tag int, body long, layout int, place long, at int"), "phrases")
     heads = leads.groupBy("phrase", "tag").agg(F.count("*").alias("n"), F.min_by("at", "place").alias("at"), F.min("place").alias("place"))
     heads = stored(heads.where("n > 1"), "heads")
     asked = heads.groupBy("place").agg(F.collect_list(F.struct("at", "phrase", "tag")).alias("asked"))
@@ -337,6 +337,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     again = leads.select("phrase", "tag", "body", "layout", shard).join(
         heads.select("phrase", "tag", F.col("n").alias("total")), ["phrase", "tag"])
     again = stored(again.groupBy("phrase", "tag", "body", "layout", "total", "shard").agg(F.count("*").alias("n")), "recurring")
+    discard(docs.sparkSession, path)  # a third of what is kept, and nothing below reads it
     kinds = again.groupBy("phrase", "tag", "body", "layout").agg(F.sum("n").alias("all"), F.min("shard").alias("speaker"))
     known = again.join(kinds, ["phrase", "tag", "body", "layout"]).join(spelled, ["phrase", "tag"]).select(
         "shard", "words", "layout", "body", "n", (F.col("all") > 1).alias("whole"),
