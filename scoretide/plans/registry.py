@@ -648,16 +648,22 @@ def chain_wide(spark, sf):
     """Chain files with a column per order line, more than Spark's CSV reader takes; of the stored draws an index range of one
     parameter is read."""
     lines = v.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
-    numbered = panel.dense_index(lines, ["l_orderkey", "l_linenumber"], "idx")
-    cells = F.sort_array(F.collect_list(F.struct("idx", "q")))
-    whole = numbered.agg(cells.alias("c")).select(F.transform("c", lambda x: F.concat(F.lit("theta."), x["idx"].cast("string"))).alias("names"), F.col("c.q").alias("q"))
+    numbered = materialise(panel.dense_index(lines, ["l_orderkey", "l_linenumber"], "idx"), "wide-cells")
+    # the lines are written in pieces of a thousand fields, as none of them fits in a row; a line's last piece holds the next one's first field
+    cells = F.sort_array(F.collect_list(F.struct("idx", "q"))).alias("c")
+    blocks = numbered.groupBy(F.floor((F.col("idx") - 1) / 1000).alias("block")).agg(cells)
     number = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("ord")
-    rows = whole.select("names", "q", number, F.explode(F.array(F.lit(1), F.lit(2))).alias("chain"))
-    values = F.transform("q", lambda x: (x + F.col("chain") + F.col("ord") / 4).cast("string"))
-    text = rows.select("chain", "ord", F.when(F.col("ord") == 0, F.concat_ws(",", F.lit("lp__"), F.concat_ws(",", "names"))).otherwise(
-        F.concat_ws(",", F.col("ord").cast("string"), F.concat_ws(",", values))).alias("value"))
+    rows = blocks.select("block", "c", number)
+    rows = rows.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("chain"))
+    names = F.transform("c", lambda x: F.concat(F.lit("theta."), x["idx"].cast("string")))
+    values = F.transform("c", lambda x: (x["q"] + F.col("chain") + F.col("ord") / 4).cast("string"))
+    piece = F.concat_ws(",", F.when(F.col("ord") == 0, names).otherwise(values))
+    n_cells = numbered.count()
+    ends = F.when(F.col("block") != (n_cells - 1) // 1000, F.lit("")).when(F.col("ord") < 3, F.concat(F.lit("\n"), (F.col("ord") + 1).cast("string"))).otherwise(F.lit("\n# end"))
+    begins = F.when((F.col("ord") == 0) & (F.col("block") == 0), F.lit("lp__,")).otherwise(F.lit(""))
     path = fresh_path(spark, "wide-text")
-    text.repartition("chain").sortWithinPartitions("chain", "ord").select("chain", "value").write.partitionBy("chain").text(path)
+    text = rows.select("chain", "ord", "block", F.concat(begins, piece, ends).alias("value")).repartition("chain").sortWithinPartitions("chain", "ord", "block")
+    text.select("chain", "value").write.partitionBy("chain").option("lineSep", ",").text(path)
     stored = fresh_path(spark, "wide-draws")
     chain_files.write_draws(chain_files.read_chains(spark, path + "/*/*.txt"), stored)
     return chain_files.read_draws(spark, stored, params=["theta"], first=20_001, last=40_000)
