@@ -52,9 +52,12 @@ def _fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             line_start = np.maximum.accumulate(np.where(breaks == 1, place, -at))
             places = place - line_start
             part, at = int(number[-1]), int(places[-1]) + 1
+            cells = cut.flatten()
+            if pc.any(pc.ends_with(cells, "\r")).as_py():
+                cells = pc.replace_substring_regex(cells, "\r$", "")
             yield pa.RecordBatch.from_arrays(
                 [pa.array([where[0]] * len(breaks), pa.string()), pa.array(np.full(len(breaks), where[1], dtype=np.int64)), pa.array(number), pa.array(places),
-                 pc.replace_substring_regex(cut.flatten(), "\r$", "").cast(pa.string())], names=["_file", "_block", "_part", "_at", "cell"])
+                 cells.cast(pa.string())], names=["_file", "_block", "_part", "_at", "cell"])
 
 
 def _placed_fields(spark: SparkSession, files: list[str]) -> DataFrame:
