@@ -33,6 +33,8 @@ SUFFIXES = r"(\.[0-9]+)+$"
 
 # Distinct (period, key, name, id) of a component that one task may hold, and of all components in a task.
 COMPONENT_ROWS, TASK_ROWS = 100_000, 50_000
+# A component of more rows is a group of its own, so several large ones never meet in a worker's memory; smaller ones share groups.
+OWN_ROWS = 5_000
 
 
 def resolve_first_keeps(df: DataFrame) -> DataFrame:
@@ -431,8 +433,9 @@ def resolve_keys(df: DataFrame, memory: Memory | None = None, component_rows: in
     held = placed.join(sizes, "component")
 
     buckets = max((total[0] or 0) // TASK_ROWS + 1, spark.sparkContext.defaultParallelism)
-    small = held.where(F.col("_size") <= component_rows).drop("_size").withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(buckets)))
-    found = small.groupBy("bucket").applyInPandas(_folded, FOLD_SCHEMA) if total[0] else spark.createDataFrame([], FOLD_SCHEMA)
+    alone = F.when(F.col("_size") > OWN_ROWS, F.col("component"))
+    small = held.where(F.col("_size") <= component_rows).withColumns({"bucket": F.pmod(F.xxhash64("component"), F.lit(buckets)), "alone": alone}).drop("_size")
+    found = small.groupBy("bucket", "alone").applyInPandas(_folded, FOLD_SCHEMA) if total[0] else spark.createDataFrame([], FOLD_SCHEMA)
     found = materialise(found, "folded")
     moved = found.where("stage = 0 and not (new_key <=> key)").select(*CLAIM, "new_key")
     log = found.where("stage > 0").select("name", F.col("key").alias("old_key"), "new_key", *LOG_ORDER)
