@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scoretide.operators.spread import group_positions, nested_index
+from scoretide.operators.spread import group_positions, nested_index, tasks_for
 
 # A wide table's column names live on the driver; more items or periods than this are refused.
 MAX_WIDE_COLUMNS = 10_000
@@ -36,13 +36,16 @@ def item_label(df: DataFrame) -> DataFrame:
 
 
 def to_wide(obs: DataFrame, key: str = "name", most: int = MAX_WIDE_COLUMNS) -> DataFrame:
-    """One row per key and one column per item; only for panels with few items."""
+    """One row per key and one column per item; only for panels with few items. Keys are dealt to as many tasks as the rows need, as a
+    task holds a wide row for each of its keys."""
     labelled = item_label(obs)
-    found = labelled.select("period", "indicator", "item_col").distinct().orderBy("period", "indicator")
-    names = [r["item_col"] for r in found.limit(most + 1).collect()]
+    found = labelled.groupBy("period", "indicator", "item_col").agg(F.count("*").alias("n")).orderBy("period", "indicator")
+    items = found.limit(most + 1).collect()
+    names = [r["item_col"] for r in items]
     if len(names) > most:
         raise ValueError(f"more than {most} items: keep the panel long")
-    return labelled.groupBy(key).pivot("item_col", names).agg(F.max("y"))
+    dealt = labelled.repartition(tasks_for(obs.sparkSession, sum(r["n"] for r in items)), key)
+    return dealt.groupBy(key).pivot("item_col", names).agg(F.max("y"))
 
 
 def from_wide(wide: DataFrame, key: str = "name") -> DataFrame:

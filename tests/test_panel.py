@@ -85,3 +85,9 @@ def test_plans_push_filters_and_prune_columns(spark, sf, capsys):
     assert "LessThanOrEqual(l_linenumber,4)" in capsys.readouterr().out
     v.panel_raw(spark, sf).explain("formatted")
     assert "Cartesian" not in capsys.readouterr().out
+
+
+def test_wide_rows_are_dealt_by_the_number_of_observations(spark):
+    obs = spark.createDataFrame([(f"n{i}", 2000, "a", i % 2) for i in range(50)], "name string, period int, indicator string, y int")
+    wide = panel.to_wide(obs)
+    assert wide.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and wide.count() == 50
