@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scoretide.operators import convergence as conv
-from scoretide.operators import model, panel, posterior
+from scoretide.operators import model, panel, posterior, spread
 from scoretide.sources import chains as cf
 
 DRAWS = "param string, idx long, chain int, iteration long, value double"
@@ -71,6 +71,16 @@ def test_waic_of_one_draw_has_no_variance_and_tails_do_not_cancel(spark):
     assert got == pytest.approx(step**2 * (40**2 - 1) / 12 * 40 / 39, rel=0.02)
 
 
+def test_tasks_of_pointwise_values_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(spread, "TASK_ROWS", 10)
+    obs = spark.createDataFrame([(f"n{k}", 1, i, k % 2) for k in range(30) for i in "ij"], "name string, period int, indicator string, y int")
+    theta = spark.createDataFrame([(f"n{k}", 1, d, 0.1 * k) for k in range(30) for d in range(1, 5)], "name string, period int, draw int, theta double")
+    items = spark.createDataFrame([(i, 1, d, 0.2, 1.0) for i in "ij" for d in range(1, 5)], "indicator string, period int, draw int, alpha double, beta double")
+    found = model.pointwise_log_lik(obs, theta, items, per_chunk=3)
+    assert found.rdd.getNumPartitions() == (60 * 2 + 120) // 10 + 1
+    assert {r.n_draws for r in found.collect()} == {4} and found.count() == 60
+
+
 def test_pins_and_anchors_that_are_not_there(spark):
     one = spark.createDataFrame([("a", 1, "i", 1), ("a", 2, "i", 0)], "name string, period int, indicator string, y int")
     assert panel.panel_dims(one).first().n_free_starts == 1
