@@ -13,10 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoretide.llm.common import added, over_batches, slices, stored, text_of
-from scoretide.llm.toxicity import labelled_sample
+from scoretide.llm.toxicity import labelled
 
 BUCKETS = 10_000
-SAMPLE = 4000  # labelled target documents that are read at most
 KEEP = 0.8  # share of the documents that is sampled
 SEED = 17
 
@@ -81,12 +80,12 @@ def kth_largest(df: DataFrame, column: str, k: int) -> tuple[float | int, int] |
 
 def sample_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    keep: float = KEEP, buckets: int = BUCKETS, sample: int = SAMPLE, seed: int = SEED,
+    keep: float = KEEP, buckets: int = BUCKETS, seed: int = SEED,
 ) -> DataFrame:
     """One row per input row: the id, ``log_weight``, ``key`` and ``kept``.
 
-    Words and word pairs are hashed into ``buckets``. The raw model counts all documents; the target model counts at
-    most ``sample`` documents with label 1, never those whose id has a CRC-32 divisible by five. A document's log weight
+    Words and word pairs are hashed into ``buckets``. The raw model counts all documents; the target model counts all
+    documents with label 1 but those whose id has a CRC-32 divisible by five. A document's log weight
     is the log ratio of the two models, summed over its n-grams. With a Gumbel number added, the largest ceil(``keep`` * rows)
     keys are a sample without replacement in proportion to the weights; ``kept`` marks it. The numbers depend on seed, id and text.
 
@@ -94,7 +93,7 @@ def sample_quality(
     Without target documents all weights are 0. An empty table gives an empty result. Other columns are not read.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(f"`{text_col}`").alias("text"))
-    target_rows, _ = labelled_sample(rows, labels, id_col, label_col, sample)
+    target_rows, _ = labelled(rows, labels, id_col, label_col)
     target, raw = _totals(target_rows.where("label = 1"), buckets), _totals(rows, buckets)
     ratio = np.log((target + 1) / (target.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets)) if target.any() else np.zeros(buckets)
     shared = docs.sparkSession.sparkContext.broadcast(ratio)

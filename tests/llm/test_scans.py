@@ -114,6 +114,32 @@ def test_labels_of_held_out_rows_are_not_used(labelled):
     assert rows_of(toxicity.score_toxicity(docs, labels), "doc_id", "score") == rows_of(toxicity.score_toxicity(docs, turned), "doc_id", "score")
 
 
+def test_all_labelled_documents_are_fitted_on(spark):
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("the same words"), F.concat(F.lit("w"), F.col("id") % 50)).alias("text"))
+    rows, sizes = toxicity.labelled(docs.withColumnRenamed("doc_id", "id"), docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic")), "doc_id", "toxic")
+    assert rows.count() == sum(sizes.values()) == docs.where(~toxicity.held_out(F.col("doc_id"))).count() and min(sizes.values()) > 4000
+    found, totals = toxicity.term_counts(rows)
+    assert max(r["toxic"] for r in found) == min(sizes.values())
+
+
+def test_weights_do_not_hang_on_the_order_of_rows(spark):
+    rows = spark.range(3000).selectExpr("cast(hash(id) % 3 = 0 as int) as label", "sin(id) + cast(hash(id) % 3 = 0 as int) as x0", "cos(id * id) as x1")
+    one, other = (toxicity.logistic(r, ["x0", "x1"], {0: 1.0, 1: 2.0}) for r in (rows.repartition(1), rows.repartition(7)))
+    assert all((a == b).all() for a, b in zip(one, other))
+    found = np.array(rows.collect(), dtype=float)
+    z, y = np.c_[np.ones(3000), (found[:, 1:] - one[0]) / one[1]], found[:, 0]
+    slope = z.T @ ((1 + y) * (1 / (1 + np.exp(-z @ one[2])) - y)) + np.array([1e-6, 1, 1]) * one[2]
+    assert np.abs(slope).max() < 1e-6 and one[0] == pytest.approx(found[:, 1:].mean(0)) and one[1] == pytest.approx(found[:, 1:].std(0))
+
+
+def test_words_are_cut_as_the_pattern_says():
+    script = toxicity.UNSPACED
+    pattern = re.compile(f"[{script}]|(?:(?![{script}])[^\\W_]|')+")
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x30000)]))
+    for text in (every, "a_b 'tis x\u3000y\u0301z naïve漢字kana ²½ I\u0307"):
+        assert toxicity.words_of(text) == pattern.findall(text.lower())
+
+
 def test_toxicity_edges(clashing, empty, labelled):
     labels = labelled[1]
     assert toxicity.score_toxicity(empty, labels).count() == 0
