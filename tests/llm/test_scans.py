@@ -165,6 +165,14 @@ def test_class_probabilities_are_distributions(spark):
         assert all(t == pytest.approx(o) for t, o in rare)
 
 
+def test_texts_meet_labels_in_one_way_at_any_size(spark):
+    """Texts are dealt by id, however few labels there are, so that a small table shows what a large one moves."""
+    docs = spark.range(50).select("id", F.lit("a b").alias("text"))
+    rows, _ = toxicity.labelled(docs, docs.select("id", (F.col("id") % 2).alias("toxic")), "id", "toxic")
+    plan = rows._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_terms_are_whole():
     found = toxicity.terms("Don't donaudampfschiff 漢字 ไทย")
     assert found["word"] == {"don't", "donaudampfschiff", "漢", "字", "ไ", "ท", "ย"}
