@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,6 +174,48 @@ def test_texts_meet_labels_in_one_way_at_any_size(spark):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
+ODD_TEXTS = ["", " ", "one", "a b a b", "Ünter dem ünter", "漢字 kana x漢", "it's ___ x9", "zorgle " * 700, "a b", "na\u0131ve İstanbul ²½"] + [
+    " ".join(f"w{(k * j) % 37}é{j % 3}" for j in range(k % 90)) for k in range(200)]
+
+
+@pytest.mark.parametrize("counted, told, together", [(6_000_000, 65_536, 4096), (500, 7, 16)])
+def test_gathered_counts_are_those_of_sets(monkeypatch, counted, told, together):
+    for name, value in (("COUNTED", counted), ("TOLD", told), ("TOGETHER", together)):
+        monkeypatch.setattr(toxicity, name, value)
+    labels = [k % 3 == 0 for k in range(len(ODD_TEXTS))]
+    batches = [pa.record_batch({"label": pa.array(labels[k : k + 50], pa.bool_()).cast(pa.int32()), "text": ODD_TEXTS[k : k + 50]}) for k in range(0, len(labels), 50)]
+    found, want = Counter(), Counter()
+    for batch in toxicity._counted(iter(batches)):
+        assert batch.num_rows <= told
+        for r in batch.to_pylist():
+            found[r["kind"], r["term"], 1] += r["toxic"]
+            found[r["kind"], r["term"], 0] += r["ordinary"]
+    for label, text in zip(labels, ODD_TEXTS):
+        for kind, held in toxicity.terms(text).items():
+            want.update((kind, term, int(label)) for term in held)
+            want[kind, None, int(label)] += len(held)
+    assert +found == +want
+    assert sum(b.num_rows for b in toxicity._counted(iter([]))) == 3
+
+
+def test_features_are_those_of_sets(monkeypatch):
+    monkeypatch.setattr(toxicity, "TOGETHER", 16)
+    monkeypatch.setattr(toxicity, "KNOWN_WORDS", 30)
+    counts = [{"kind": kind, "term": term, "toxic": 9.0 + 50 * (len(term) % 3 == 0), "ordinary": 9.0 + 90 * (len(term) % 3 == 1)}
+              for kind in toxicity.DISCOUNT for term in sorted(set().union(*[toxicity.terms(t)[kind] for t in ODD_TEXTS[:150]]))[::2]]
+    total = {"all": 9000.0, "toxic": 3000.0, "ordinary": 4000.0}
+    model = toxicity.Model(counts, dict.fromkeys(toxicity.DISCOUNT, total))
+    ratio = {(r["kind"], r["term"]): np.log(np.divide(*toxicity.class_probabilities(r["toxic"], r["ordinary"], total, toxicity.DISCOUNT[r["kind"]]))) for r in counts
+             if min(toxicity.class_probabilities(r["toxic"], r["ordinary"], total, toxicity.DISCOUNT[r["kind"]])) > 0}
+    for text, found in zip(ODD_TEXTS, model.features(ODD_TEXTS)):
+        held = toxicity.terms(text)
+        each = [ratio.get(("word", w), np.mean([ratio.get(("letters", run), 0) for run in toxicity.letter_runs(w)])) for w in held["word"]] or [0]
+        both = [ratio.get(("pair", p), 0) for p in held["pair"]]
+        want = sum(x - 1 for x in each if x > 1) / len(each) ** 0.5, max(each), sum(x - 1 for x in both if x > 1) / max(len(both), 1) ** 0.5
+        assert found == pytest.approx(want)
+    assert model.features([]).shape == (0, 3)
+
+
 def test_terms_are_whole():
     found = toxicity.terms("Don't donaudampfschiff 漢字 ไทย")
     assert found["word"] == {"don't", "donaudampfschiff", "漢", "字", "ไ", "ท", "ย"}
