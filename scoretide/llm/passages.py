@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count, islice, repeat
 
 import ahocorasick
 import numpy as np
@@ -55,23 +58,55 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+# A word's hash is a sum of numbers that stand for its bytes in their places; longer words have XXH64. White space counts nothing.
+PLACES = 32
+WHITE = re.compile(rb"[\t-\r ]")
+BYTES = mix(mix(np.arange(1, PLACES * 256 + 1, dtype=_U) * _U(BASES[0]))).reshape(PLACES, 256)
+BYTES[:, [9, 10, 11, 12, 13, 32]] = 0
+BYTES = BYTES.ravel()
+IN_WORD = BYTES[:256] != 0
+
+# Bytes of a text that are hashed at once.
+STRETCH = 1 << 20
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """Hashes of the words that white space separates in ``text``, in order."""
+    out, done = [np.zeros(0, _U)], 0
+    while done < len(text):
+        end = WHITE.search(text, done + STRETCH)
+        end = end.start() if end else len(text)
+        codes = np.frombuffer(text, np.uint8, end - done, done)
+        edges = np.flatnonzero(np.diff(IN_WORD[codes], prepend=False, append=False))
+        start, stop = edges[::2], edges[1::2]
+        if len(start):
+            place = np.arange(start[0], len(codes), dtype=np.int32)
+            place -= np.repeat(start.astype(np.int32), np.diff(start, append=len(codes)))
+            np.minimum(place, PLACES - 1, out=place)
+            hashes = mix(np.add.reduceat(BYTES[(place << 8) + codes[start[0] :]], start - start[0]))
+            for k in np.flatnonzero(stop - start > PLACES).tolist():
+                hashes[k] = xxhash.xxh64_intdigest(codes[start[k] : stop[k]].tobytes())
+            out.append(hashes)
+        done = end
+    return np.concatenate(out)
+
+
 class Words:
     """Numbers and hashes of the words met so far."""
 
     def __init__(self) -> None:
-        self.ids: dict[bytes, int] = {}
-        self.hashes = np.zeros(4096, _U)
+        self.ids: defaultdict[bytes, int] = defaultdict(count().__next__)
+        self.hashes, self.n = np.zeros(4096, _U), 0
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.ids
-        new = [w for w in dict.fromkeys(words) if w not in known]
+        ids = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+        new = len(self.ids) - self.n
         if new:
-            n = len(known)
-            while n + len(new) > len(self.hashes):
+            while self.n + new > len(self.hashes):
                 self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-            self.hashes[n : n + len(new)] = np.fromiter(map(xxhash.xxh64_intdigest, new), _U, len(new))
-            known.update(zip(new, range(n, n + len(new))))
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            self.hashes[self.n : self.n + new][::-1] = word_hashes(b" ".join(islice(reversed(self.ids), new)))
+            self.n += new
+        return ids
 
     def hashed(self, words: list[bytes]) -> np.ndarray:
         ids = self(words)  # first, as it may replace the hashes by a longer array
@@ -138,8 +173,7 @@ def _phrases(window: int, phrase: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                number = Words()
-                found = [Blocks(number.hashed(text.encode().split()), window, phrase) for text in part.column("text").to_pylist()]
+                found = [Blocks(word_hashes(text.encode()), window, phrase) for text in part.column("text").to_pylist()]
                 phrases, bodies = (np.concatenate([getattr(x, c) for x in found]).view(np.int64) for c in ("phrase", "body"))
                 tag, at, layout = (np.concatenate([getattr(x, c) for x in found]) for c in ("tag", "at", "layout"))
                 place = np.repeat(part.column("place").to_numpy(), [len(x.at) for x in found])
@@ -152,11 +186,10 @@ def _spell(phrase: int):
     """The words of the phrases that a document is to give, each checked against its hash."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            number = Words()
             for text, asked in zip(batch.column("text").to_pylist(), batch.column("asked")):
-                words, values = text.encode().split(), asked.values
+                text, values = text.encode(), asked.values
+                words, hashes = text.split(), word_hashes(text)
                 at, phrases, tag = (values.field(c).to_numpy() for c in ("at", "phrase", "tag"))
-                hashes = number.hashed(words)
                 if len(words) < at.max() + phrase or (Sums(hashes).spans(at, phrase).view(np.int64) != phrases).any() or (tags(hashes, at, phrase) != tag).any():
                     raise ValueError(CHANGED)
                 said = [b" ".join(words[k : k + phrase]).decode() for k in at.tolist()]
@@ -194,6 +227,8 @@ class Dictionary:
         self.words, self.digits = len(number.ids), 1  # every other word is one more, the same for all
         while SYMBOLS**self.digits <= self.words:
             self.digits += 1
+        places = np.arange(self.digits)
+        self.spelling = (np.arange(self.words + 1)[:, None] // SYMBOLS**places % SYMBOLS + places * SYMBOLS + 1).astype("<u4")
         spelled, length = self._spelled(ids), phrase * self.digits
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for k in range(len(known)):
@@ -211,20 +246,23 @@ class Dictionary:
         self.layouts, self.begin = pairs % scale, np.searchsorted(pairs // scale, np.arange(len(known) + 1))
 
     def _spelled(self, ids: np.ndarray) -> str:
-        places = np.arange(self.digits)
-        digits = np.minimum(ids, self.words)[:, None] // SYMBOLS**places % SYMBOLS + places * SYMBOLS + 1
-        return digits.astype("<u4").tobytes().decode("utf-32-le")
+        return self.spelling[np.minimum(ids, self.words)].tobytes().decode("utf-32-le")
 
     @staticmethod
     def _key(of: np.ndarray, layout: np.ndarray, body: np.ndarray) -> np.ndarray:
         return mix(body + mix(of.astype(_U) * _U(BASES[0]) + layout.astype(_U)))
 
-    def blocks(self, ids: np.ndarray, sums: Sums) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Kind, first window and number of windows of every known block around the phrases that the automaton locates."""
-        nothing = np.zeros(0, np.int64)
+    def located(self, ids: np.ndarray) -> np.ndarray:
+        """Last digit and number of every phrase that the automaton locates in a document with windows."""
         if not len(self.keys) or len(ids) < self.window:
-            return nothing, nothing, nothing
-        met = np.array(list(self.automaton.iter(self._spelled(ids))), np.int64).reshape(-1, 2)
+            return np.zeros((0, 2), np.int64)
+        return np.array(list(self.automaton.iter(self._spelled(ids))), np.int64).reshape(-1, 2)
+
+    def blocks(self, ids: np.ndarray, sums: Sums, met: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Kind, first window and number of windows of every known block around the phrases that the automaton locates (``met``)."""
+        met = self.located(ids) if met is None else met
+        if not len(met):
+            return met[:, 0], met[:, 0], met[:, 0]
         at, of = met[:, 0] // self.digits - self.phrase + 1, met[:, 1]
         times = self.begin[of + 1] - self.begin[of]
         layout = self.layouts[np.repeat(self.begin[of] - np.cumsum(times) + times, times) + np.arange(times.sum())]
@@ -245,12 +283,19 @@ def _locate(window: int, phrase: int, keep_text: bool):
         number = Words()
         known = Dictionary(recurring, number, window, phrase)
         out: dict[str, list] = {c: [] for c in COLUMNS}
+        nothing, none = np.zeros(0, bool), (np.zeros(0, np.int32), np.zeros(0, np.int64))
         for text in docs.column("text").to_pylist():
-            words = text.encode().split()
-            ids = number(words)
-            hashes = number.hashes[ids]
+            text = text.encode()
+            words = text.split()
+            ids = np.fromiter(map(number.ids.get, words, repeat(known.words)), np.int64, len(words))
+            met = known.located(ids)
+            if not len(met):  # nothing of it recurs
+                for column, value in zip(COLUMNS, (len(words), *kept_words(words, nothing)[:2], b" ".join(words).decode() if keep_text else None, None, None, none[0], none[1], none[0])):
+                    out[column].append(value)
+                continue
+            hashes = word_hashes(text)
             sums = Sums(hashes)
-            kind, first, size = known.blocks(ids, sums)
+            kind, first, size = known.blocks(ids, sums, met)
             full = known.whole[kind]
             removed = _cover(len(words), first[full], first[full] + size[full] - 1 + window)
             telling = np.flatnonzero(known.speaks[kind])

@@ -240,6 +240,22 @@ def test_blocks_come_from_the_automaton():
     assert not len(Dictionary(table.slice(0, 0), number, 35, 12).blocks(ids, sums)[0])
 
 
+def test_word_hashes(monkeypatch):
+    """A word has one hash wherever it stands, alone or between others, and other words have others."""
+    rnd = np.random.default_rng(2)
+    words = [bytes(rnd.choice([*b"abc!", 0, 0x1C, 0x85, 0xC3, 0xA9, 255], n).astype(np.uint8)) for n in (1, 2, 3, 31, 32, 33, 90) for _ in range(20)]
+    alone = {w: int(passages.word_hashes(w)[0]) for w in words}
+    assert len(set(alone.values())) == len(alone)
+    text = b"\t" + b" \n ".join(words) + b"\r\x0b\x0c "
+    assert text.split() == words
+    for stretch in (1 << 20, 64, 1):
+        monkeypatch.setattr(passages, "STRETCH", stretch)
+        assert passages.word_hashes(text).tolist() == [alone[w] for w in words]
+    number = Words()
+    assert number.hashed(words[:50]).tolist() + number.hashed(words).tolist() == [alone[w] for w in words[:50] + words]
+    assert not len(passages.word_hashes(b"")) and not len(passages.word_hashes(b" \n "))
+
+
 def test_spelling_finds_changed_documents(spark):
     number = Words()
     words = [f"w{k}".encode() for k in range(40)]
