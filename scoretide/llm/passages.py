@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scoretide.llm.common import discard, over_batches, slices, stored, stored_at, text_of
+from scoretide.llm.common import discard, over_batches, shuffles_freed, slices, stored_at, text_of
 from scoretide.session import ship_code
 
 WINDOW = 35
@@ -373,27 +373,38 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.monotonically_increasing_id().alias("place"), F.col(f"`{id_col}`").alias("id"), text.alias("text"))
     shard = F.pmod(F.xxhash64("place"), F.lit(shards)).cast("int").alias("shard")
 
-    leads, path = stored_at(over_batches(rows.select("text", "place"), _phrases(window, phrase), "phrase long, tag int, body long, layout int, place long, at int"), "phrases")
+    spark = docs.sparkSession
+
+    def staged(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+        with shuffles_freed(spark):
+            return stored_at(df, label)
+
+    leads, leads_at = staged(over_batches(rows.select("text", "place"), _phrases(window, phrase), "phrase long, tag int, body long, layout int, place long, at int"), "phrases")
     heads = leads.groupBy("phrase", "tag").agg(F.count("*").alias("n"), F.min_by("at", "place").alias("at"), F.min("place").alias("place"))
-    heads = stored(heads.where("n > 1"), "heads")
+    heads, heads_at = staged(heads.where("n > 1"), "heads")
     asked = heads.groupBy("place").agg(F.collect_list(F.struct("at", "phrase", "tag")).alias("asked"))
     spelled = over_batches(rows.select("place", "text").join(asked, "place").select("text", "asked"), _spell(phrase), "phrase long, tag int, words string")
 
     again = leads.select("phrase", "tag", "body", "layout", shard).join(
         heads.select("phrase", "tag", F.col("n").alias("total")), ["phrase", "tag"])
-    again = stored(again.groupBy("phrase", "tag", "body", "layout", "total", "shard").agg(F.count("*").alias("n")), "recurring")
-    discard(docs.sparkSession, path)  # a third of what is kept, and nothing below reads it
+    again, again_at = staged(again.groupBy("phrase", "tag", "body", "layout", "total", "shard").agg(F.count("*").alias("n")), "recurring")
+    discard(spark, leads_at)  # the largest of these tables, and nothing below reads it
     kinds = again.groupBy("phrase", "tag", "body", "layout").agg(F.sum("n").alias("all"), F.min("shard").alias("speaker"))
     known = again.join(kinds, ["phrase", "tag", "body", "layout"]).join(spelled, ["phrase", "tag"]).select(
         "shard", "words", "layout", "body", "n", (F.col("all") > 1).alias("whole"),
         ((F.col("all") < F.col("total")) & ((F.col("all") == 1) | (F.col("shard") == F.col("speaker")))).alias("speaks"))
+    # Stored, so that the documents that spell have left the disk before all of them travel to their shards.
+    known, known_at = staged(known, "known")
+    for path in (heads_at, again_at):
+        discard(spark, path)
 
     rows = rows.withColumn("shard", shard)
-    ship_code(docs.sparkSession)
+    ship_code(spark)
     id_field = rows.schema["id"]
     schema = T.StructType([T.StructField("place", T.LongType()), id_field, *T.StructType.fromDDL(SCHEMA).fields])
     found = rows.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_locate(window, phrase, keep_text), schema)
-    found = stored(found, "located")
+    found = staged(found, "located")[0]
+    discard(spark, known_at)
 
     done = found.where("text is null").select("id", "n_words", "n_removed", "kept_sha256", "kept")
     pending = found.where("text is not null")

@@ -1,8 +1,11 @@
 """Exact, SimHash and substring dedup against brute force."""
 
 import collections
+import glob
 import hashlib
+import os
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +15,9 @@ from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from scoretide import session
 from scoretide.llm import exact_dedup, passages, simhash
+from scoretide.llm.common import FREE_SHUFFLES
 from scoretide.llm.components import components, forest
 from scoretide.llm.exact_dedup import content_sort
 from scoretide.llm.passages import Blocks, Dictionary, Sums, Words, _spell, drop_repeats, leaders
@@ -211,6 +216,32 @@ def test_repeats_over_shards(spark, monkeypatch, tmp_path):
         drop_repeats(df)
 
 
+def test_repeats_leave_the_disk(spark, texts, tmp_path, monkeypatch):
+    """Steps that are over leave no shuffle files behind, and of the tables only the one that the result reads. The setting for that is as before."""
+    monkeypatch.setattr(passages, "SHARD_BYTES", 3_000)
+    monkeypatch.setattr(session, "shared_dir", lambda _: f"{tmp_path}/shared")
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    docs.agg(F.sum(F.octet_length("text"))).first()
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {os.path.basename(f).split("_")[1] for d in disk.localDirsString() for f in glob.glob(f"{d}/*/shuffle_*")}
+
+    for was in (None, "false"):
+        (spark.conf.unset if was is None else lambda k: spark.conf.set(k, was))(FREE_SHUFFLES)
+        before = shuffles()
+        found = drop_repeats(docs)
+        end = time.time() + 20
+        while len(shuffles() - before) > 1 and time.time() < end:  # they go in the background; one is of the sum of lengths
+            time.sleep(0.2)
+        assert len(shuffles() - before) <= 1
+        assert spark.conf.get(FREE_SHUFFLES, None) == was
+        assert rows_of(found, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_repeats(texts)
+        assert {n.split("-")[0] for n in os.listdir(f"{tmp_path}/shared")} == {"located"}
+    spark.conf.unset(FREE_SHUFFLES)
+
+
 def test_leaders():
     rnd = np.random.default_rng(5)
     for width in (1, 2, 3, 7, 24):
