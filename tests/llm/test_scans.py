@@ -166,6 +166,21 @@ def test_class_probabilities_are_distributions(spark):
         assert all(t == pytest.approx(o) for t, o in rare)
 
 
+def test_all_terms_are_kept_beyond_a_broadcast(spark, labelled, monkeypatch):
+    """Models of more terms than are broadcast have every term, and give the same scores."""
+    docs, labels = labelled
+    odd = docs.limit(60).select("doc_id", F.lit(None).cast("string").alias("text")).union(
+        spark.createDataFrame([(None, "zorgle mixed zorglexxabcdef"), (9_000_001, "zorglexx" * 40), (9_000_002, "\u6f22\u5b57 na\u0131ve")], "doc_id long, text string"))
+    docs = docs.select("doc_id", "text").union(odd)
+    rows = toxicity.labelled(docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")), labels, "doc_id", "toxic")[0]
+    broadcast, scores = toxicity.class_models(rows), rows_of(toxicity.score_toxicity(docs, labels, keep_rows=True), "doc_id", "held_out", "score", "row.text")
+    monkeypatch.setattr(toxicity, "TERMS", 20)
+    wide = toxicity.class_models(rows)
+    assert len(toxicity.term_counts(rows)[0]) == sum(map(len, broadcast.ratio.values())) + len(broadcast.values) and wide.table.count() > 60
+    assert {(r.kind, r.term): r.ratio for r in wide.table.collect() if r.kind != "pair"} == {(k, t): x for k, v in broadcast.ratio.items() for t, x in v.items()}
+    assert rows_of(toxicity.score_toxicity(docs, labels, keep_rows=True), "doc_id", "held_out", "score", "row.text") == scores
+
+
 def test_texts_meet_labels_in_one_way_at_any_size(spark):
     """Texts are dealt by id, however few labels there are, so that a small table shows what a large one moves."""
     docs = spark.range(50).select("id", F.lit("a b").alias("text"))
